@@ -106,11 +106,12 @@ def _nearest(q_ids, queries, v_ids, vectors, k: int, allowed=None):
         if len(starts) < len(every):
             scores = np.maximum.reduceat(scores, starts, axis=1)
         scores[q_ids[lo : lo + len(part), None] == v_ids[None, :]] = -np.inf
-        cut = np.partition(scores, len(v_ids) - k, axis=1)[:, len(v_ids) - k] if len(v_ids) > k else np.full(len(part), -np.inf)
+        cut = np.partition(scores, len(v_ids) - k, axis=1)[:, len(v_ids) - k] if len(v_ids) > k else np.full(len(part), -1e300)
         for i in range(len(part)):
-            near = np.flatnonzero((scores[i] >= cut[i]) & (scores[i] > -np.inf))
-            near = near[np.argsort(-scores[i, near], kind="stable")][:k]
-            yield lo + i, v_ids[near], scores[i, near]
+            near = np.flatnonzero((scores[i] >= cut[i] - 1e-9 * (1 + abs(cut[i]))) & (scores[i] > -np.inf))
+            exact = scores[i, near] if len(starts) < len(every) else (vectors[near] * part[i]).sum(axis=1)  # equal for equal vectors
+            best = np.argsort(-exact, kind="stable")[:k]
+            yield lo + i, v_ids[near[best]], exact[best]
 
 
 _OUT = "query_id long, vec_id long, score double"

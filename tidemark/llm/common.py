@@ -92,10 +92,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: The bytes of ASCII that are neither letters nor digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(data: bytes, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hashes, start bytes, end bytes) of the words of UTF-8 ``data``, A-Z taken as a-z."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    inside = np.concatenate(([False], ~_IS_SPACE[raw], [False]))
+    inside = np.concatenate(([False], ~separators[raw], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):

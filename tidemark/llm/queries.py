@@ -12,8 +12,13 @@ from . import licenses
 #: Query name -> module with a function of that name.
 _MODULES = {
     "op1_rp_forest": "ann",
+    "op2_quality_compression": "classify",
+    "op3_role_repair": "chat",
     "op4_token_files": "token_files",
+    "op5_benchmark_leaks": "decontaminate",
+    "op6_toxicity_compression": "classify",
     "op7_binary_packing": "packing",
+    "op8_circulant_minhash": "near_dup",
     "op9_license_scan": "licenses",
     "op10_external_shuffle": "sharding",
 }
