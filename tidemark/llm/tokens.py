@@ -13,7 +13,7 @@ import sys
 from array import array
 
 _RUN = re.compile(r"\s\s")
-_KEPT = 450_000  # units in memory for each worker
+_KEPT = 700_000  # units in memory for each worker
 _ENCODERS: dict = {}
 _MARKS = ".,;:!?"
 #: The characters by which byte-level vocabularies show bytes: printable ones themselves, the others from U+0100 on.
@@ -43,67 +43,64 @@ class Encoder:
         kinds = [spec["pre_tokenizer"]["type"], (spec.get("normalizer") or {}).get("type")]
         #: Bytes keep their blanks; words drop white space; any other kind is never cut.
         self.mode = {("ByteLevel", None): "bytes", ("Sequence", "Sequence"): "words"}.get(tuple(kinds), "whole")
-        self.first: dict[str, bytes] = {"": b""}
-        self.after: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
+        self._model = self.tokenizer.model
+        self.newline = self._ids(["\n"])[0] if self.mode == "bytes" else b""
+        self.ends = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, units: list[str], lead: str) -> list[bytes]:
-        """Units of plain letters are what the library's splitting leaves whole, so its model can take them as they are."""
-        tokenize = self.tokenizer.model.tokenize
-        lower, shown = self.mode == "words", "Ġ" if lead else ""
-        out = []
-        for u in units:
-            if lower:
-                u = u.lower()
-            u = shown + (u if u.isascii() else u.encode().decode("latin-1").translate(_SHOWN))
-            out.append(array("I", [t.id for t in tokenize(u)]).tobytes())
-        return out
-
-    def _fill(self, cache: dict[str, bytes], units: set[str], lead: str) -> None:
-        missing = units - cache.keys()
-        if not missing:
-            return
-        if len(cache) + len(missing) > _KEPT:  # frequent units come early, so the early ones stay
-            for u in list(cache)[_KEPT // 3 :]:
-                del cache[u]
-            missing = units - cache.keys()
+    def _letters(self, unit: str, lead: str) -> bytes:
+        """A unit of plain letters is what the library's splitting leaves whole, so its model can take it as it is."""
+        if self.mode == "words":
+            unit = unit.lower()
+        unit = lead + (unit if unit.isascii() else unit.encode().decode("latin-1").translate(_SHOWN))
+        return array("I", [t.id for t in self._model.tokenize(unit)]).tobytes()
+
+    def _fill(self, units: set[str]) -> None:
+        """Puts the ids of units into the cache; one that begins with a line break has no blank before its first word."""
+        cache = self.cache
+        lead, shown = (" ", "Ġ") if self.mode == "bytes" else ("", "")
+        newline = self.newline
+        marked, rest = [], []
         # A mark after plain letters is a unit of its own, so "word," and "word." share the work for "word".
-        marked, plain, rest = [], set(), []
-        for u in missing:
+        for u in units:
             core = u[:-1] if u[-1:] in _MARKS else u
-            if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
-                plain.add(core)
+            body = core[1:] if core[:1] == "\n" else core
+            if body.isalpha() and (body.isascii() or max(body) < "ɐ" and "İ" not in body):
+                if core not in cache:
+                    cache[core] = self._letters(body, shown) if body is core else newline + self._letters(body, "")
                 if core is not u:
                     marked.append(u)
             else:
                 rest.append(u)
-        plain = list(plain - cache.keys())
-        cache.update(zip(plain, self._letters(plain, lead), strict=True))
-        cache.update(zip(rest, self._ids([lead + u for u in rest]), strict=True))
-        ends = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
+        cut = [u[1:] if u[:1] == "\n" else lead + u for u in rest]
+        for u, ids in zip(rest, self._ids(cut), strict=True):
+            cache[u] = newline + ids if u[:1] == "\n" else ids
         for u in marked:
-            cache[u] = cache[u[:-1]] + ends[u[-1]]
+            cache[u] = cache[u[:-1]] + self.ends[u[-1]]
+
+    def _joined(self, rows: list[list[str]]) -> list[bytes]:
+        cache = self.cache
+        if len(cache) > _KEPT:  # frequent units come early, so the early ones stay
+            for u in list(cache)[_KEPT // 2 :]:
+                del cache[u]
+        found = [list(map(cache.get, r)) for r in rows]
+        late = [i for i, ids in enumerate(found) if None in ids]
+        self._fill({u for i in late for u, ids in zip(rows[i], found[i], strict=True) if ids is None})
+        for i in late:
+            found[i] = map(cache.__getitem__, rows[i])
+        return [b"".join(ids) for ids in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "words":
-            rows = [t.replace("\n", " ").split(" ") for t in texts]
-            self._fill(self.first, set().union(*rows), "")
-            get = self.first.__getitem__
-            return [b"".join(map(get, r)) for r in rows]
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.mode == "whole" or _RUN.search(t)]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        odd_set = set(odd)
-        rows = [(i, [line.split(" ") for line in t.split("\n")]) for i, t in enumerate(texts) if i not in odd_set]
-        self._fill(self.first, {line[0] for _, lines in rows for line in lines} | {"\n"}, "")
-        self._fill(self.after, {u for _, lines in rows for line in lines for u in line[1:]}, " ")
-        first, after, newline = self.first, self.after.__getitem__, self.first["\n"]
-        for i, lines in rows:
-            out[i] = newline.join([first[line[0]] + b"".join(map(after, line[1:])) for line in lines])
-        return out
+            return self._joined([t.replace("\n", " ").split(" ") for t in texts])
+        odd = {i for i, t in enumerate(texts) if self.mode == "whole" or _RUN.search(t)}
+        whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
+        rows = self._joined([[] if i in odd else f"\n{t}".replace("\n", " \n").split(" ")[1:] for i, t in enumerate(texts)])
+        skip = len(self.newline)
+        return [whole[i] if i in odd else r[skip:] for i, r in enumerate(rows)]
 
 
 def encoder(path: str) -> Encoder:
