@@ -8,7 +8,8 @@ no band with a probability of about 1e-6.
 Links: documents with equal shingle sets are one class. Classes meet in bands; a bucket gives pairs of a pivot and its
 members (all pairs in the smallest buckets), pairs whose signatures agree too little are passed over (four standard
 deviations below the threshold), the rest are confirmed on whole texts. After joining what is linked, every bucket that
-still holds different components gives the pairs between its components, and these are confirmed too. So a bucket of very
+still holds different components gives first each outside member's most similar partners, then all pairs between its
+components (a pair in two of its bands at most), and these are confirmed too. So a bucket of very
 many copies costs a multiple of its size, not its square, and only what stays apart is compared further. Buckets are
 processed in blocks of ``BLOCK`` rows; of a larger bucket the members outside its main component go to every block.
 
@@ -32,7 +33,7 @@ COORDS = ROWS * BANDS
 UNIVERSE = 1 << 20
 #: Bytes of two signatures that agree by chance or likeness: 0.85 less four standard deviations.
 AGREE = int(COORDS * (0.85 - 4 * (0.85 * 0.15 / COORDS) ** 0.5))
-BLOCK, ALL_PAIRS, PARTNERS, BROADCAST_IDS = 2048, 6, 64, 1_000_000
+BLOCK, ALL_PAIRS, PARTNERS, NEAREST, BROADCAST_IDS = 2048, 6, 64, 8, 1_000_000
 _PI: list = []
 
 
@@ -100,8 +101,17 @@ def _runs(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def _pairs(batches):
-    """Candidate pairs of each (key, block): columns key, block, id, sig, label (-1 at first), lead, own."""
+def _first_bands(sig: np.ndarray, i: int, near: np.ndarray, band: int) -> np.ndarray:
+    """Of the rows ``near`` those whose first or second band in common with row i is this one: other bands give them too."""
+    agree = (sig[near] == sig[i]).reshape(-1, BANDS, ROWS).all(axis=2)
+    return near[agree[:, :band].sum(axis=1) < 2]
+
+
+def _pairs(batches, best: int | None = None):
+    """Candidate pairs of each (key, block): columns key, block, id, sig, label (-1 at first), lead, own, band.
+
+    best: each row outside the main component gives its most similar ones only.
+    """
     import pyarrow as pa
 
     a_out, b_out = [], []
@@ -119,13 +129,16 @@ def _pairs(batches):
             lead, own = run.column("lead").to_numpy(zero_copy_only=False), run.column("own").to_numpy(zero_copy_only=False)
             leads = np.flatnonzero(lead)
         for i in leads:
-            near = (sig == sig[i]).sum(axis=1) >= AGREE
+            agree = (sig == sig[i]).sum(axis=1)
+            near = agree >= AGREE
             if labels[0] < 0:
                 near &= ids > ids[i] if len(ids) <= ALL_PAIRS else ids != ids[i]
             else:  # two outside the main component meet in every block; the one where the smaller id is at home counts
                 may = ~lead | np.where(ids[i] < ids, own[i], False)
                 near &= (labels != labels[i]) & may
             found = np.flatnonzero(near)
+            if labels[0] >= 0:
+                found = found[np.argsort(-agree[found], kind="stable")[:best]] if best else _first_bands(sig, i, found, run.column("band")[0].as_py())
             a_out.append(np.full(len(found), ids[i]))
             b_out.append(ids[found])
         if sum(map(len, a_out)) > 20_000:
@@ -170,36 +183,37 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     known = written(docs.mapInArrow(_describe, "id long, n long, digest binary, sig binary, keys array<long>"), "signatures")
     classes = written(known.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = known.where("n > 0").join(classes, (F.col("id") == F.col("rep")) & (known["digest"] == classes["digest"]), "left_semi")
-    members = reps.select("id", F.explode("keys").alias("key"))
+    members = reps.select("id", F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy("key").count().where("count > 1")
-    met = written(members.join(shared, "key").select("key", "id", "count"), "buckets")
+    met = written(members.join(shared, "key").select("key", "band", "id", "count"), "buckets")
     candidates = written(met.select("id").distinct(), "candidates")
     small = candidates.count() <= BROADCAST_IDS
     texts = written(docs.join(F.broadcast(candidates) if small else candidates, "id", "left_semi").dropDuplicates(["id"]), "texts")
     sigs = known.join(F.broadcast(candidates) if small else candidates, "id", "left_semi").select("id", "sig").dropDuplicates(["id"])
     met = written(met.join(sigs, "id"), "bucket-signatures")
 
-    def paired(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "id", "sig", "label", "lead", "own").mapInArrow(_pairs, "a long, b long").distinct()
+    def paired(rows: DataFrame, name: str, best: int | None = None) -> DataFrame:
+        dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "id", "sig", "label", "lead", "own", "band")
+        return written(dealt.mapInArrow(lambda batches: _pairs(batches, best), "a long, b long").distinct(), name)
 
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK)).cast("int")
-    stars = paired(met.select("key", block.alias("block"), "id", "sig", F.lit(-1).cast("long").alias("label"), F.lit(False).alias("lead"), F.lit(True).alias("own")))
-    links = _links(written(stars, "stars"), texts)
+    stars = met.select("key", block.alias("block"), "id", "sig", F.lit(-1).cast("long").alias("label"), F.lit(False).alias("lead"), F.lit(True).alias("own"), "band")
+    links = _links(paired(stars, "stars"), texts)
     labels = components(links)
-
-    # Buckets that still hold several components.
-    labelled = met.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "sig", "count", F.coalesce("label", "id").alias("label"))
-    parts = labelled.groupBy("key", "label").count()
-    open_ = parts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    rest = labelled.join(open_, "key")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    lead = F.col("label") != F.col("main")
-    rest = rest.withColumn("home", block).withColumn("lead", lead).select("key", "id", "sig", "label", "lead", "home", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))).alias("block"))
-    rest = rest.withColumn("own", F.col("home") == F.col("block"))
-    more = written(paired(rest), "crossings")
-    if more.limit(1).count():
-        links = links.union(_links(more, texts))
-        labels = components(links)
+    for best in (NEAREST, None):  # in buckets that still hold several components: the likeliest pairs first, then all
+        labelled = met.join(labels, F.col("id") == F.col("node"), "left").select("key", "band", "id", "sig", "count", F.coalesce("label", "id").alias("label"))
+        parts = labelled.groupBy("key", "label").count()
+        open_ = parts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        rest = labelled.join(open_, "key").withColumn("home", block).withColumn("lead", F.col("label") != F.col("main"))
+        blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+        rest = rest.select("key", "band", "id", "sig", "label", "lead", "home", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))).alias("block"))
+        more = paired(rest.withColumn("own", F.col("home") == F.col("block")), "crossings", best)
+        if not more.limit(1).count():
+            break
+        new = _links(more, texts)
+        if new.limit(1).count():
+            links = links.union(new)
+            labels = components(links)
 
     found = classes.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = known.select("id", "n", "digest").join(found, "digest", "left")
