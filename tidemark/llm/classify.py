@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from .common import as_bytes, col, with_columns
 from .compression import Settings, train
 
-QUALITY = Settings(window=160, dictionary_bytes=12288, min_match=4, lower=False, runs=4)
-TOXICITY = Settings(window=256, dictionary_bytes=1000, min_match=7, codes=True, min_gain=8.0, min_share=0.03)
+QUALITY = Settings(window=160, dictionary_bytes=12288, min_match=4, lower=False, runs=4, cost_one=2.0)
+TOXICITY = Settings(window=44, dictionary_bytes=1000, min_match=7, codes=True, min_gain=8.0, min_share=0.03, other_share=0.2, cost_zero=4.0)
 #: What is learned from: quality needs fewer texts and is dearer to learn.
 LEARN = {"quality": {"per_class": 500, "common": 3}, "toxic": {"per_class": 1200, "common": 4}}
 
@@ -43,8 +43,6 @@ def held_out(id_col: str, modulus: int, remainder: int):
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str, settings: Settings, *, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1200, common: int = 4, sample_bytes: int = 48 << 20):
     """A model of label 1 against label 0; ``labels`` has the rows that may be learned from."""
-    import math
-
     known = labels.select(col(id_col).alias("k"), col(label_col).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -65,10 +63,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, settings: Settings
         ys.append(r["y"])
     if not 0 < sum(ys) < len(ys):
         return constant
-    model = train(texts, ys, settings)
-    shares = (n1 / n0) / (sum(ys) / (len(ys) - sum(ys)))  # the sample's classes are weighted back to the labels' own
-    model.weights[0] += math.log(shares)
-    return model
+    return train(texts, ys, settings)
 
 
 def scored(df: DataFrame, model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

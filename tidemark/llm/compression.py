@@ -31,7 +31,10 @@ class Settings:
     runs: int = 0  # length of character runs among the segments; 0: none
     least_docs: int = 3
     min_gain: float = 2.0
-    min_share: float = 0.0
+    min_share: float = 0.0  # of the documents of the class, for a segment of label 1
+    other_share: float = 0.0  # the same for label 0
+    cost_one: float = 1.0  # of a missed label 1, against a missed label 0
+    cost_zero: float = 1.0
 
 
 def windows(text: bytes, size: int) -> list[bytes]:
@@ -78,7 +81,7 @@ def _segments(text: bytes, runs: int) -> set[bytes]:
     return found
 
 
-def contrast(texts: list[bytes], others: list[bytes], s: Settings) -> bytes:
+def contrast(texts: list[bytes], others: list[bytes], s: Settings, share: float) -> bytes:
     """Dictionary content: segments of ``texts``, those that set them apart most last (nearest to what is compressed)."""
     here, there = Counter(), Counter()
     for t in texts:
@@ -91,14 +94,19 @@ def contrast(texts: list[bytes], others: list[bytes], s: Settings) -> bytes:
     for k, c in here.items():
         p, q = c / n, (there[k] + 0.5) / (m + 1)
         z = (p - q) / np.sqrt((p * (1 - p) + 1 / n) / n + q * (1 - min(q, 0.999)) / m)
-        if p >= s.min_share and p > s.min_gain * q and z > 2:
+        if p >= share and p > s.min_gain * q and z > 2:
             ranked.append((z, k))
-    ranked.sort(key=lambda x: (-x[0], x[1]))
+    ranked.sort(key=lambda x: (-round(x[0], 6), -len(x[1]), x[1]))
     kept, size, body = [], 0, b""
     for _, k in ranked:
+        # A beginning says all that its rarer continuations say, and these have endings that any word may have.
+        if not s.runs and any(here[k] < 0.9 * here[k[:j]] for j in range(4, len(k)) if k[:j] in kept):
+            continue
         if size + len(k) > s.dictionary_bytes:
             break
         if k not in body:
+            if not s.runs:  # nor is a beginning kept beside a longer one that is as frequent
+                kept = [x for x in kept if not (k.startswith(x) and here[k] >= 0.9 * here[x])]
             kept.append(k)
             size += len(k)
             body += k + b"\x00"
@@ -162,6 +170,16 @@ class Model:
             w = w + step
             if np.abs(step).max() < 1e-6:
                 break
+        z = x @ w
+        order = np.argsort(z, kind="stable")
+        z, y = z[order], y[order]
+        # The score is 0.5 where the rates of both classes' errors, weighted, are least together.
+        missed = np.concatenate(([0], np.cumsum(y))) / max(1, y.sum())
+        taken = (1 - y).sum() - np.concatenate(([0], np.cumsum(1 - y)))
+        cost = missed * self.s.cost_one + taken / max(1, (1 - y).sum()) * self.s.cost_zero
+        best = np.flatnonzero(cost <= cost.min() + 1e-12)
+        k = int(best[len(best) // 2])
+        w[0] -= float(np.concatenate(([z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]))[k])
         self.weights = w
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -184,7 +202,7 @@ def train(texts: list[bytes], labels: list[int], s: Settings, folds: int = 2) ->
 
     def model(rows: list[int]) -> Model:
         ones, zeros = [read[i] for i in rows if labels[i]], [read[i] for i in rows if not labels[i]]
-        return Model(s, contrast(ones, zeros, s), contrast(zeros, ones, s))
+        return Model(s, contrast(ones, zeros, s, s.min_share), contrast(zeros, ones, s, s.other_share))
 
     raw = np.zeros((len(texts), 9))
     for f in range(folds):
