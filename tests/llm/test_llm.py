@@ -187,8 +187,9 @@ def test_neighbor_ties(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
-#: The 2,600 labels of this size hold 350 toxic texts in four languages, too few for all their words.
-@pytest.mark.parametrize(("label", "settings", "mod", "rem", "least"), [("quality", classify.QUALITY, 3, 1, (0.97, 0.95, 0.9)), ("toxic", classify.TOXICITY, 5, 0, (0.92, 0.6, 0.95))])
+#: Least accuracy, recall of label 1 and of label 0. The labels of this size hold 350 toxic texts in four languages, too few
+#: for all their words, and the decision point spares clean text (a wrong rejection counts four times).
+@pytest.mark.parametrize(("label", "settings", "mod", "rem", "least"), [("quality", classify.QUALITY, 3, 1, (0.97, 0.95, 0.9)), ("toxic", classify.TOXICITY, 5, 0, (0.93, 0.5, 0.98))])
 def test_classifiers(spark, awkward, label, settings, mod, rem, least):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
