@@ -9,7 +9,7 @@ Links: documents with equal shingle sets are one class. Classes meet in bands; a
 members (all pairs in the smallest buckets), pairs whose signatures agree too little are passed over (four standard
 deviations below the threshold), the rest are confirmed on whole texts. After joining what is linked, every bucket that
 still holds different components gives first each outside member's most similar partners, then all pairs between its
-components (a pair in two of its bands at most), and these are confirmed too. So a bucket of very
+components (a pair in the first of its bands), and these are confirmed too. So a bucket of very
 many copies costs a multiple of its size, not its square, and only what stays apart is compared further. Buckets are
 processed in blocks of ``BLOCK`` rows; of a larger bucket the members outside its main component go to every block.
 
@@ -101,14 +101,9 @@ def _runs(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def _first_bands(sig: np.ndarray, i: int, near: np.ndarray, band: int) -> np.ndarray:
-    """Of the rows ``near`` those whose first or second band in common with row i is this one: other bands give them too."""
-    agree = (sig[near] == sig[i]).reshape(-1, BANDS, ROWS).all(axis=2)
-    return near[agree[:, :band].sum(axis=1) < 2]
-
-
 def _pairs(batches, best: int | None = None):
-    """Candidate pairs of each (key, block): columns key, block, id, sig, label (-1 at first), lead, own, band.
+    """Candidate pairs of each (key, block): columns key, block, id, sig, label (-1 at first), lead, own, band,
+    keys. A pair of the later rounds is given in the first band that it shares.
 
     best: each row outside the main component gives its most similar ones only.
     """
@@ -119,6 +114,7 @@ def _pairs(batches, best: int | None = None):
         if run.num_rows < 2:
             continue
         ids, labels = run.column("id").to_numpy(), run.column("label").to_numpy()
+        keys = run.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
         sig = np.frombuffer(b"".join(run.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), COORDS)
         if labels[0] < 0:
             salt = np.uint64(run.column("key")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
@@ -138,7 +134,8 @@ def _pairs(batches, best: int | None = None):
                 near &= (labels != labels[i]) & may
             found = np.flatnonzero(near)
             if labels[0] >= 0:
-                found = found[np.argsort(-agree[found], kind="stable")[:best]] if best else _first_bands(sig, i, found, run.column("band")[0].as_py())
+                found = found[(keys[found] == keys[i]).argmax(axis=1) == run.column("band")[0].as_py()]  # later bands give it too
+                found = found[np.argsort(-agree[found], kind="stable")[:best]]
             a_out.append(np.full(len(found), ids[i]))
             b_out.append(ids[found])
         if sum(map(len, a_out)) > 20_000:
@@ -189,24 +186,24 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     candidates = written(met.select("id").distinct(), "candidates")
     small = candidates.count() <= BROADCAST_IDS
     texts = written(docs.join(F.broadcast(candidates) if small else candidates, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    sigs = known.join(F.broadcast(candidates) if small else candidates, "id", "left_semi").select("id", "sig").dropDuplicates(["id"])
+    sigs = known.join(F.broadcast(candidates) if small else candidates, "id", "left_semi").select("id", "sig", "keys").dropDuplicates(["id"])
     met = written(met.join(sigs, "id"), "bucket-signatures")
 
     def paired(rows: DataFrame, name: str, best: int | None = None) -> DataFrame:
-        dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "id", "sig", "label", "lead", "own", "band")
+        dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "id", "sig", "label", "lead", "own", "band", "keys")
         return written(dealt.mapInArrow(lambda batches: _pairs(batches, best), "a long, b long").distinct(), name)
 
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK)).cast("int")
-    stars = met.select("key", block.alias("block"), "id", "sig", F.lit(-1).cast("long").alias("label"), F.lit(False).alias("lead"), F.lit(True).alias("own"), "band")
+    stars = met.select("key", block.alias("block"), "id", "sig", F.lit(-1).cast("long").alias("label"), F.lit(False).alias("lead"), F.lit(True).alias("own"), "band", "keys")
     links = _links(paired(stars, "stars"), texts)
     labels = components(links)
     for best in (NEAREST, None):  # in buckets that still hold several components: the likeliest pairs first, then all
-        labelled = met.join(labels, F.col("id") == F.col("node"), "left").select("key", "band", "id", "sig", "count", F.coalesce("label", "id").alias("label"))
+        labelled = met.join(labels, F.col("id") == F.col("node"), "left").select("key", "band", "id", "sig", "keys", "count", F.coalesce("label", "id").alias("label"))
         parts = labelled.groupBy("key", "label").count()
         open_ = parts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
         rest = labelled.join(open_, "key").withColumn("home", block).withColumn("lead", F.col("label") != F.col("main"))
         blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-        rest = rest.select("key", "band", "id", "sig", "label", "lead", "home", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))).alias("block"))
+        rest = rest.select("key", "band", "id", "sig", "keys", "label", "lead", "home", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))).alias("block"))
         more = paired(rest.withColumn("own", F.col("home") == F.col("block")), "crossings", best)
         if not more.limit(1).count():
             break
