@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
 Pass 1 scatters records uniformly into buckets that fit in memory, by a seeded hash of their id and text. Pass 2 takes
-one bucket a task, permutes it by Fisher-Yates (Spark's ``shuffle``) and writes it. Buckets lie end to end, in bucket
+each bucket as one array, permutes it by Fisher-Yates (Spark's ``shuffle``) and writes it. Buckets lie end to end, in bucket
 order, and the resulting sequence is cut into shards whose row counts differ by one at most; so each task writes to a
 few shards only, and the only thing computed over all buckets is a running sum of their counts, one row a bucket.
 
@@ -40,7 +40,8 @@ def external_shuffle(df: DataFrame, num_shards: int, *, id_col: str = "doc_id",
     )
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    grouped = scattered.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("record")), F.lit(seed)).alias("records"))
+    # Dealt out by the bucket first, so that the arrays are only built where they stay.
+    grouped = scattered.repartition(buckets, "bucket").groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("record")), F.lit(seed)).alias("records"))
     small, longer = rows // num_shards, rows % num_shards  # the first `longer` shards have one row more
     edge = longer * (small + 1)
     placed = grouped.join(starts, "bucket").select("first", F.posexplode("records").alias("at", "record"))
