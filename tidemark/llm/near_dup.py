@@ -6,12 +6,12 @@ signature is the minimum over a document's shingles; ``ROWS`` coordinates make a
 no band with a probability of about 1e-6.
 
 Links: documents with equal shingle sets are one class. Classes meet in bands; a bucket gives pairs of a pivot and its
-members (all pairs in the smallest buckets), pairs whose signatures agree too little are passed over (four standard
-deviations below the threshold), the rest are confirmed on whole texts. After joining what is linked, every bucket that
-still holds different components gives first each outside member's most similar partners, then all pairs between its
-components (a pair in the first of its bands), and these are confirmed too. So a bucket of very
-many copies costs a multiple of its size, not its square, and only what stays apart is compared further. Buckets are
-processed in blocks of ``BLOCK`` rows; of a larger bucket the members outside its main component go to every block.
+members (all pairs in the smallest buckets), pairs whose sketches of ``SKETCH`` coordinates agree too little are passed
+over (four standard deviations below the threshold), the rest are confirmed on whole texts. After joining what is linked,
+every bucket that still holds different components gives first each outside member's most similar partners, then all
+pairs between its components (a pair in the first of its bands), and these are confirmed too. So a bucket of very many
+copies costs a multiple of its size, not its square, and only what stays apart is compared further. Buckets are processed
+in blocks of ``BLOCK`` rows; of a larger bucket the members outside its main component go to every block.
 
 Defined cases: null and empty texts and texts without words have no shingles and no links; a text of fewer words than a
 shingle is one shingle; equal texts link; rows that repeat an id are one node; null ids take no part and are dropped from
@@ -30,9 +30,11 @@ from .components import components
 WIDTH, PERCENT = 5, 85
 ROWS, BANDS = 7, 36
 COORDS = ROWS * BANDS
+#: Coordinates by which documents that share a bucket are compared.
+SKETCH = 2 * COORDS
 UNIVERSE = 1 << 20
-#: Bytes of two signatures that agree by chance or likeness: 0.85 less four standard deviations.
-AGREE = int(COORDS * (0.85 - 4 * (0.85 * 0.15 / COORDS) ** 0.5))
+#: Bytes of two sketches that agree by chance or likeness: 0.85 less four standard deviations.
+AGREE = int(SKETCH * (0.85 - 4 * (0.85 * 0.15 / SKETCH) ** 0.5))
 BLOCK, ALL_PAIRS, PARTNERS, NEAREST, BROADCAST_IDS = 2048, 6, 64, 8, 1_000_000
 _PI: list = []
 
@@ -40,13 +42,13 @@ _PI: list = []
 def _windows() -> np.ndarray:
     if not _PI:
         pi = np.random.default_rng(4242).permutation(UNIVERSE).astype(np.uint32)
-        _PI.append(np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:COORDS]]), COORDS))
+        _PI.append(np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:SKETCH]]), SKETCH))
     return _PI[0]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The circulant signature of a non-empty set of 64-bit hashes."""
-    at, windows = (mix64(shingles) >> np.uint64(44)).astype(np.int64), _windows()
+def signature(shingles: np.ndarray, width: int = COORDS) -> np.ndarray:
+    """The first ``width`` coordinates of the circulant signature of a non-empty set of 64-bit hashes."""
+    at, windows = (mix64(shingles) >> np.uint64(44)).astype(np.int64), _windows()[:, :width]
     out = windows[at[:1024]].min(axis=0)
     for lo in range(1024, len(at), 1024):
         np.minimum(out, windows[at[lo : lo + 1024]].min(axis=0), out=out)
@@ -69,14 +71,22 @@ def _describe(batches):
 
     for batch in batches:
         texts = as_bytes(batch.column(1))
-        ids, n, digests, sigs, keys = batch.column(0), [], [], [], []
+        ids, n, digests, keys = batch.column(0), [], [], []
         for s in shingle_hashes(texts, WIDTH):
             n.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            sig = signature(s) if len(s) else None
-            sigs.append(None if sig is None else (sig & np.uint32(0xFF)).astype(np.uint8).tobytes())
-            keys.append(None if sig is None else band_keys(sig))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "sig", "keys"])
+            keys.append(band_keys(signature(s)) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "keys"])
+
+
+def _sketch(batches):
+    """id, sig (a byte of each of ``SKETCH`` coordinates) and band keys of texts that have words."""
+    import pyarrow as pa
+
+    for batch in batches:
+        sigs = [signature(s, SKETCH) for s in shingle_hashes(as_bytes(batch.column(1)), WIDTH)]
+        low = [(s & np.uint32(0xFF)).astype(np.uint8).tobytes() for s in sigs]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary()), pa.array([band_keys(s[:COORDS]) for s in sigs], pa.list_(pa.int64()))], names=["id", "sig", "keys"])
 
 
 def _runs(batches, keys: int):
@@ -115,7 +125,7 @@ def _pairs(batches, best: int | None = None):
             continue
         ids, labels = run.column("id").to_numpy(), run.column("label").to_numpy()
         keys = run.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
-        sig = np.frombuffer(b"".join(run.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), COORDS)
+        sig = np.frombuffer(b"".join(run.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), SKETCH)
         if labels[0] < 0:
             salt = np.uint64(run.column("key")[0].as_py() & 0xFFFFFFFFFFFFFFFF)
             first = np.argsort(mix64(ids.astype(np.uint64) ^ salt), kind="stable")
@@ -177,7 +187,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for each row of ``df``."""
     docs = df.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
-    known = written(docs.mapInArrow(_describe, "id long, n long, digest binary, sig binary, keys array<long>"), "signatures")
+    known = written(docs.mapInArrow(_describe, "id long, n long, digest binary, keys array<long>"), "signatures")
     classes = written(known.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     reps = known.where("n > 0").join(classes, (F.col("id") == F.col("rep")) & (known["digest"] == classes["digest"]), "left_semi")
     members = reps.select("id", F.posexplode("keys").alias("band", "key"))
@@ -185,15 +195,17 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     met = written(members.join(shared, "key").select("key", "band", "id", "count"), "buckets")
     candidates = written(met.select("id").distinct(), "candidates")
     small = candidates.count() <= BROADCAST_IDS
-    texts = written(docs.join(F.broadcast(candidates) if small else candidates, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    sigs = known.join(F.broadcast(candidates) if small else candidates, "id", "left_semi").select("id", "sig", "keys").dropDuplicates(["id"])
+    texts = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(F.broadcast(candidates) if small else candidates, "id", "left_semi")
+    texts = written(texts.dropDuplicates(["id"]), "texts")
+    sigs = texts.mapInArrow(_sketch, "id long, sig binary, keys array<long>")
     met = written(met.join(sigs, "id"), "bucket-signatures")
 
     def paired(rows: DataFrame, name: str, best: int | None = None) -> DataFrame:
         dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "id", "sig", "label", "lead", "own", "band", "keys")
         return written(dealt.mapInArrow(lambda batches: _pairs(batches, best), "a long, b long").distinct(), name)
 
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / BLOCK)).cast("int")
+    # A bucket's own blocks: those of another band bring other members together.
+    block = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("count") / BLOCK)).cast("int")
     stars = met.select("key", block.alias("block"), "id", "sig", F.lit(-1).cast("long").alias("label"), F.lit(False).alias("lead"), F.lit(True).alias("own"), "band", "keys")
     links = _links(paired(stars, "stars"), texts)
     labels = components(links)
