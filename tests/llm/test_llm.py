@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, classify, decontaminate, licenses, near_dup, packing, sharding, token_files
+from tidemark.llm import ann, chat, classify, compression, decontaminate, licenses, near_dup, packing, sharding, token_files
 from tidemark.llm.queries import oracle_sql, queries
 from tidemark.llm.tokens import encoder, tokenizer_path
 
@@ -205,6 +205,39 @@ def test_classifiers(spark, awkward, label, settings, mod, rem, least):
     assert none.scores([b"x"])[0] > 0.5
 
 
+def _toxic_texts():
+    """1,200 ordinary texts and 400 toxic ones, of which 10 have toxic words of their own and 20 are near copies of one text."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(300)]
+    copied = ["".join(rng.choices("qrstuvwxyz", k=8)) for _ in range(40)]
+    texts = [" ".join(rng.choices(vocabulary, k=40)) for _ in range(1200)]
+    texts += [" ".join(rng.choices(vocabulary, k=37) + ["vilestword"] * 3) for _ in range(370)]
+    texts += [" ".join(rng.choices(vocabulary, k=37) + ["raravoxest"] * 3) for _ in range(10)]
+    texts += [" ".join(rng.choices(vocabulary, k=2) + copied) for _ in range(20)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    return [texts[i].encode() for i in order], [int(i >= 1200) for i in order], copied
+
+
+def test_rare_toxic_segments():
+    texts, labels, copied = _toxic_texts()
+    toxic = compression.train(texts, labels, classify.TOXICITY).contents[0]
+    assert compression.encoded(b" vilest") in toxic and compression.encoded(b" rara") in toxic
+    assert not any(compression.encoded(b" " + w[:5].encode()) in toxic for w in copied)
+
+
+def test_toxicity_by_language(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = classify.learn(docs, labels.where(~classify.held_out("doc_id", 5, 0)), "toxic", classify.TOXICITY, **classify.LEARN["toxic"])
+    held = classify.scored(docs.join(labels, "doc_id").where(classify.held_out("doc_id", 5, 0)), model).select("toxic", "lang", "score").collect()
+    found = [(r.lang, r.score >= 0.5) for r in held if r.toxic == 1]
+    spanish = [x for lang, x in found if lang == "es"]
+    right, clean = np.mean([(r.score >= 0.5) == bool(r.toxic) for r in held]), np.mean([r.score < 0.5 for r in held if r.toxic == 0])
+    print({lang: (sum(x for k, x in found if k == lang), sum(k == lang for k, _ in found)) for lang in dict(found)}, right, np.mean([x for _, x in found]), clean)
+    assert len(spanish) == 6 and sum(spanish) >= 4 and np.mean([x for _, x in found]) > 0.6
+
+
 def _plain_alignment(p, q):
     h, best = np.zeros((len(q) + 1, len(p) + 1), dtype=int), 0
     for i in range(1, len(q) + 1):

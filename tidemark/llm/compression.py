@@ -12,6 +12,7 @@ a score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -31,7 +32,8 @@ class Settings:
     runs: int = 0  # length of character runs among the segments; 0: none
     least_docs: int = 3
     min_gain: float = 2.0
-    min_share: float = 0.0  # of the documents of the class, for a segment of label 1
+    chance: float = 0.0  # of one wrong segment of label 1 in all, families counted once; 0: each segment by its own z
+    folds: int = 2  # of the calibration
     other_share: float = 0.0  # the same for label 0
     cost_one: float = 1.0  # of a missed label 1, against a missed label 0
     cost_zero: float = 1.0
@@ -81,6 +83,73 @@ def _segments(text: bytes, runs: int) -> set[bytes]:
     return found
 
 
+class Families:
+    """Texts as sets of segment numbers, and for each its family: texts that share half of their segments, and those that share it with them."""
+
+    BANDS, ROWS = 20, 3
+
+    def __init__(self, texts: list[bytes], runs: int):
+        number: dict[bytes, int] = {}
+        self.sets = [np.fromiter(sorted(number.setdefault(k, len(number)) for k in _segments(t, runs)), dtype=np.int32) for t in texts]
+        self.names = list(number)
+        hashes = np.fromiter(map(zlib.crc32, self.names), dtype=np.uint64, count=len(self.names))
+        factors = np.random.default_rng(11).integers(1, 2**63, self.BANDS * self.ROWS, dtype=np.uint64) | np.uint64(1)
+        self.family, buckets = list(range(len(texts))), {}
+        for i, own in enumerate(self.sets):
+            if not len(own):
+                continue
+            least = np.array([((hashes[own] + np.uint64(1)) * f >> np.uint64(20)).min() for f in factors]).reshape(self.BANDS, self.ROWS)
+            for b in range(self.BANDS):
+                firsts = buckets.setdefault((b, *least[b].tolist()), [])  # one text a family, as far as is known
+                if not any(self._joined(i, j) for j in firsts):
+                    firsts.append(i)
+        self.family = [self._root(i) for i in range(len(texts))]
+
+    def _root(self, i: int) -> int:
+        while self.family[i] != i:
+            i = self.family[i]
+        return i
+
+    def _joined(self, i: int, j: int) -> bool:
+        a, b = self._root(i), self._root(j)
+        if a != b:
+            shared = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+            if 3 * shared < len(self.sets[i]) + len(self.sets[j]):  # a Jaccard similarity below a half
+                return False
+            self.family[max(a, b)] = min(a, b)
+        return True
+
+    def counts(self, rows: list[int]) -> tuple[int, np.ndarray]:
+        """(number of families of the rows, for each segment the number of them that have it)."""
+        groups: dict[int, list[int]] = {}
+        for i in rows:
+            groups.setdefault(self.family[i], []).append(i)
+        out = np.zeros(len(self.names), dtype=np.int64)
+        for own in groups.values():
+            out[self.sets[own[0]] if len(own) == 1 else np.unique(np.concatenate([self.sets[i] for i in own]))] += 1
+        return len(groups), out
+
+
+def _evidence(c: np.ndarray, n: int, d: np.ndarray, m: int) -> np.ndarray:
+    """Minus the logarithm of the likelihood that one share explains c of n and d of m, against a share for each."""
+
+    def part(x, total, share):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(total * share, 1e-300)), 0.0)
+
+    r = (c + d) / (n + m)
+    return part(c, n, r) + part(n - c, n, 1 - r) + part(d, m, r) + part(m - d, m, 1 - r)
+
+
+def telling(texts: Families, ones: list[int], zeros: list[int], s: Settings) -> bytes:
+    """Dictionary content as ``contrast`` gives it, of the segments whose excess in ``ones`` isn't chance, however rare they are."""
+    (n, c), (m, d) = texts.counts(ones), texts.counts(zeros)
+    at = np.flatnonzero(c >= s.least_docs)
+    found = _evidence(c[at], n, d[at], m)
+    fit = (c[at] / n > s.min_gain * (d[at] + 0.5) / (m + 1)) & (found > np.log(max(1, len(at)) / s.chance))
+    here = {texts.names[k]: int(c[k]) for k in at[fit]}
+    return _content([(float(v), texts.names[k]) for v, k in zip(found[fit], at[fit], strict=True)], here, s)
+
+
 def contrast(texts: list[bytes], others: list[bytes], s: Settings, share: float) -> bytes:
     """Dictionary content: segments of ``texts``, those that set them apart most last (nearest to what is compressed)."""
     here, there = Counter(), Counter()
@@ -96,6 +165,10 @@ def contrast(texts: list[bytes], others: list[bytes], s: Settings, share: float)
         z = (p - q) / np.sqrt((p * (1 - p) + 1 / n) / n + q * (1 - min(q, 0.999)) / m)
         if p >= share and p > s.min_gain * q and z > 2:
             ranked.append((z, k))
+    return _content(ranked, here, s)
+
+
+def _content(ranked: list[tuple[float, bytes]], here, s: Settings) -> bytes:
     ranked.sort(key=lambda x: (-round(x[0], 6), -len(x[1]), x[1]))
     kept, size, body = [], 0, b""
     for _, k in ranked:
@@ -196,13 +269,17 @@ def _revive(s, contents, weights, center, scale):
     return out
 
 
-def train(texts: list[bytes], labels: list[int], s: Settings, folds: int = 2) -> Model:
+def train(texts: list[bytes], labels: list[int], s: Settings) -> Model:
     """Dictionaries from all texts; the calibration sees each text through dictionaries made without its fold."""
     read = [t.lower() for t in texts] if s.lower else texts
+    families, folds = Families(read, s.runs) if s.chance else None, s.folds
 
     def model(rows: list[int]) -> Model:
+        if families:
+            positive = telling(families, [i for i in rows if labels[i]], [i for i in rows if not labels[i]], s)
+            return Model(s, positive, contrast([read[i] for i in rows if not labels[i]], [read[i] for i in rows if labels[i]], s, s.other_share))
         ones, zeros = [read[i] for i in rows if labels[i]], [read[i] for i in rows if not labels[i]]
-        return Model(s, contrast(ones, zeros, s, s.min_share), contrast(zeros, ones, s, s.other_share))
+        return Model(s, contrast(ones, zeros, s, 0.0), contrast(zeros, ones, s, s.other_share))
 
     raw = np.zeros((len(texts), 9))
     for f in range(folds):
