@@ -226,6 +226,13 @@ def test_rare_toxic_segments():
     assert not any(compression.encoded(b" " + w[:5].encode()) in toxic for w in copied)
 
 
+def test_both_dictionaries_hold_text():
+    texts, labels, _ = _toxic_texts()
+    toxic, ordinary = compression.train(texts, labels, classify.TOXICITY).contents
+    words = {w for t, y in zip(texts, labels, strict=True) if not y for w in t.split()}
+    assert toxic.strip(b"\0") and sum(compression.encoded(b" " + w[:5]) in ordinary for w in words) >= 2
+
+
 def test_toxicity_by_language(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

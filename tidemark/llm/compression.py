@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -34,7 +34,6 @@ class Settings:
     min_gain: float = 2.0
     chance: float = 0.0  # of one wrong segment of label 1 in all, families counted once; 0: each segment by its own z
     folds: int = 2  # of the calibration
-    other_share: float = 0.0  # the same for label 0
     cost_one: float = 1.0  # of a missed label 1, against a missed label 0
     cost_zero: float = 1.0
 
@@ -150,7 +149,19 @@ def telling(texts: Families, ones: list[int], zeros: list[int], s: Settings) ->
     return _content([(float(v), texts.names[k]) for v, k in zip(found[fit], at[fit], strict=True)], here, s)
 
 
-def contrast(texts: list[bytes], others: list[bytes], s: Settings, share: float) -> bytes:
+def ordinary(texts: Families, zeros: list[int], ones: list[int], s: Settings, size: int) -> bytes:
+    """Dictionary content: the commonest segments of ``zeros`` that aren't commoner in ``ones``, ``size`` bytes at most.
+
+    Ordinary text has hardly any segment that toxic text lacks, so what is frequent stands for it. As large as the other
+    dictionary, it leaves the difference of sizes to what the words say.
+    """
+    (n, c), (m, d) = texts.counts(zeros), texts.counts(ones)
+    at = np.flatnonzero((c >= s.least_docs) & (c / max(1, n) > (d + 0.5) / (m + 1)))
+    at = at[np.argsort(-c[at], kind="stable")][: max(64, size)]  # no segment is shorter than four bytes, some are passed over
+    return _content([(float(c[k]), texts.names[k]) for k in at], {texts.names[k]: int(c[k]) for k in at}, replace(s, dictionary_bytes=size))
+
+
+def contrast(texts: list[bytes], others: list[bytes], s: Settings) -> bytes:
     """Dictionary content: segments of ``texts``, those that set them apart most last (nearest to what is compressed)."""
     here, there = Counter(), Counter()
     for t in texts:
@@ -163,7 +174,7 @@ def contrast(texts: list[bytes], others: list[bytes], s: Settings, share: float)
     for k, c in here.items():
         p, q = c / n, (there[k] + 0.5) / (m + 1)
         z = (p - q) / np.sqrt((p * (1 - p) + 1 / n) / n + q * (1 - min(q, 0.999)) / m)
-        if p >= share and p > s.min_gain * q and z > 2:
+        if p > s.min_gain * q and z > 2:
             ranked.append((z, k))
     return _content(ranked, here, s)
 
@@ -276,10 +287,11 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> Model:
 
     def model(rows: list[int]) -> Model:
         if families:
-            positive = telling(families, [i for i in rows if labels[i]], [i for i in rows if not labels[i]], s)
-            return Model(s, positive, contrast([read[i] for i in rows if not labels[i]], [read[i] for i in rows if labels[i]], s, s.other_share))
+            own, others = [i for i in rows if labels[i]], [i for i in rows if not labels[i]]
+            positive = telling(families, own, others, s)
+            return Model(s, positive, ordinary(families, others, own, s, len(positive) // (3 if s.codes else 1)))
         ones, zeros = [read[i] for i in rows if labels[i]], [read[i] for i in rows if not labels[i]]
-        return Model(s, contrast(ones, zeros, s, 0.0), contrast(zeros, ones, s, s.other_share))
+        return Model(s, contrast(ones, zeros, s), contrast(zeros, ones, s))
 
     raw = np.zeros((len(texts), 9))
     for f in range(folds):
