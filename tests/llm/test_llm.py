@@ -275,6 +275,17 @@ def test_leaks(spark, awkward):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and not any(r.matches for r in decontaminate.leaks(df, bench.limit(0)).collect())
 
 
+def test_repeated_edited_copies(spark):
+    item, half = [f"item{i}" for i in range(40)], [f"half{i}" for i in range(40)]
+    edited = " ".join(f"new{i}" if i % 4 == 3 else w for i, w in enumerate(item))
+    rows = [(i, f"start{i} {edited} end{i}") for i in range(30)] + [(100 + i, f"start{i} {' '.join(half[:20])} end{i}") for i in range(30)]
+    rows += [(200 + i, f"a{i} {' '.join(item[:3])} b{i} {' '.join(half[:3])}") for i in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(half))], "item_id long, text string")
+    got = {r.doc_id: r.matches for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {k: m[0].item_id for k, m in got.items() if m} == {**dict.fromkeys(range(30), 1), **dict.fromkeys(range(100, 130), 2)}
+    assert got[0][0].score == _plain_alignment(rows[0][1].split(), item) and got[100][0].score == 0.5
+
+
 def test_role_repair(spark, monkeypatch):
     def brute(roles):
         best = {0: 0}

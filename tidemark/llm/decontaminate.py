@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits of the lower-cased text. Pass 1 counts in how many documents each ``WIDTH``-word run
-of a benchmark item occurs. An item's seeds are its rarer half and all that occur in few documents, so an item that leaks
-into very many documents keeps seeds although all its runs are frequent. Pass 2 joins documents to items by the seeds and
-aligns each item with the words around its seeds (match +2, mismatch -1, gap -1); the score is the alignment's share of
-the score of a full copy. Items are broadcast in slices of at most ``SLICE_WORDS`` words, two passes a slice.
+Words are runs of letters and digits of the lower-cased text. Every ``WIDTH``-word run of a benchmark item is a seed, however
+frequent. Documents are joined to items by the seeds, and each item is aligned with the words around its seeds (match +2,
+mismatch -1, gap -1); the score is the alignment's share of the score of a full copy. Where a passage has too few of the
+item's words to reach the threshold in any order, which frequent runs mostly find, the alignment is left out. Items are
+broadcast in slices of at most ``SLICE_WORDS`` words, a pass a slice. A copy that keeps no run of ``WIDTH`` words isn't seen.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than ``WIDTH`` words take no part; items with
 equal texts are reported each, the smallest id first among equal scores; equal documents are judged alike; null ids are
@@ -22,7 +22,6 @@ from .common import NOT_ALNUM, col, mix64, slices, word_hashes
 
 WIDTH, MATCH, MISMATCH, GAP, THRESHOLD = 3, 2, -1, -1, 0.45
 SLICE_WORDS = 1_000_000
-FEW_DOCUMENTS = 20
 _MASK = (1 << 22) - 1
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 
@@ -55,25 +54,20 @@ class Items:
                     self.ids.append(rows[first + k][0])
                     self.words.append(own.copy())
                     self.grams.append(_grams(own))
-        self.keys = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, dtype=np.uint64)
-        self.use(np.ones(len(self.keys), dtype=bool))
-
-    def use(self, chosen: np.ndarray) -> None:
-        """Takes the chosen keys as seeds, for each the (item, offset) where it stands."""
-        self.seeds = self.keys[chosen]
+        self.seeds = np.unique(np.concatenate(self.grams)) if self.grams else np.empty(0, dtype=np.uint64)
         self.bitmap = np.zeros(_MASK + 1, dtype=bool)
         self.bitmap[(self.seeds & np.uint64(_MASK)).astype(np.int64)] = True
-        self.places: dict[int, list[tuple[int, int]]] = {}
+        self.places: dict[int, list[tuple[int, int]]] = {}  # of each seed the (item, offset) where it stands
         for i, grams in enumerate(self.grams):
             for at, g in enumerate(grams.tolist()):
                 self.places.setdefault(g, []).append((i, at))
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
 
-    def choose(self, counts: np.ndarray) -> None:
-        few = counts <= FEW_DOCUMENTS
-        for grams in self.grams:
-            own = np.unique(np.searchsorted(self.keys, grams))
-            few[own[np.argsort(counts[own], kind="stable")[: (len(own) + 1) // 2]]] = True
-        self.use(few)
+    def most(self, item: int, passage: np.ndarray) -> float:
+        """What no alignment's score exceeds: the share of the item's words that the passage has, in any order."""
+        words, n = self.bags[item]
+        at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        return float(np.minimum(np.bincount(at[words[at] == passage], minlength=len(words)), n).sum() / n.sum())
 
     def hits(self, hashes: np.ndarray, bounds: np.ndarray):
         """(text, word, key) of each seed found inside a text."""
@@ -121,7 +115,7 @@ def _judge(items: Items, hashes: np.ndarray, bounds: np.ndarray) -> list[list[tu
             while last + 1 < len(starts) and starts[last + 1] - starts[last] <= 2 * margin:
                 last += 1
             lo, hi = max(lo_text, starts[k] - margin), min(hi_text, starts[last] + len(words) + margin)
-            score, end = align(hashes[lo:hi], words)
+            score, end = align(hashes[lo:hi], words) if items.most(item, hashes[lo:hi]) >= THRESHOLD else (0.0, 0)
             if score >= THRESHOLD and (best is None or score > best[1]):
                 _, back = align(hashes[lo : lo + end][::-1], words[::-1])
                 best = (items.ids[item], score, lo + end - back - lo_text, lo + end - lo_text)
@@ -157,33 +151,14 @@ def leaks(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_c
     for items in _slices(benchmark.select(col(item_col).cast("long").alias("id"), col("text").alias("text"))):
         shared = spark.sparkContext.broadcast(items)
 
-        def count(batches, shared=shared):
-            import pyarrow as pa
-
-            items, seen = shared.value, None
-            for batch in batches:
-                for _, hashes, bounds in _words(batch.column(0).to_pylist()):
-                    text, _, key = items.hits(hashes, bounds)
-                    pair = np.unique(np.stack([text, np.searchsorted(items.keys, key)]), axis=1)[1]
-                    seen = np.bincount(pair, minlength=len(items.keys)) + (0 if seen is None else seen)
-            if seen is not None:
-                k = np.flatnonzero(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(seen[k], pa.int64())], names=["k", "n"])
-
-        counts = np.zeros(len(items.keys), dtype=np.int64)
-        for r in df.select(col(text_col)).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # a row a run of this slice
-            counts[r["k"]] = r["n"]
-        items.choose(counts)
-        chosen = spark.sparkContext.broadcast(items)
-
-        def judge(batches, chosen=chosen):
+        def judge(batches, shared=shared):
             import pyarrow as pa
 
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
             for batch in batches:
                 found, where = [], batch.schema.names.index("matches")
                 for _, hashes, bounds in _words(batch.column(at).to_pylist()):
-                    found += [[dict(zip(("item_id", "score", "first_word", "end_word"), m, strict=True)) for m in own] for own in _judge(chosen.value, hashes, bounds)]
+                    found += [[dict(zip(("item_id", "score", "first_word", "end_word"), m, strict=True)) for m in own] for own in _judge(shared.value, hashes, bounds)]
                 before = batch.column(where).to_pylist()
                 found = [sorted(old + new, key=lambda m: (-m["score"], m["item_id"])) for old, new in zip(before, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, kind) if i == where else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
