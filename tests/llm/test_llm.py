@@ -245,6 +245,15 @@ def test_toxicity_by_language(spark):
     assert len(spanish) == 6 and sum(spanish) >= 4 and np.mean([x for _, x in found]) > 0.6
 
 
+def test_learning_passes_over_long_texts(spark):
+    rows = [(i, "some plain words of number " + str(i % 7) if i % 2 else "vile words that are bad " + str(i % 7), int(i % 2 == 0)) for i in range(40)]
+    first = spark.createDataFrame([(i,) for i in range(40)], "k long").orderBy(F.xxhash64("k"), "k").first().k
+    rows = [(i, t + " long" * 2000 if i == first else t, y) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = classify.learn(df, df, "toxic", classify.TOXICITY, sample_bytes=8000)
+    assert not isinstance(model, classify.Constant)
+
+
 def _plain_alignment(p, q):
     h, best = np.zeros((len(q) + 1, len(p) + 1), dtype=int), 0
     for i in range(1, len(q) + 1):

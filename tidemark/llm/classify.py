@@ -1,7 +1,7 @@
 """Quality and toxicity scores by compression (see ``compression``), learned from a bounded sample of labelled rows.
 
 Learning: of each label at most ``per_class`` (times ``common`` for the more frequent one) rows in the order of a hash of
-their id, and at most ``sample_bytes`` of text, go to the driver. Scoring is one pass over whole texts, row by row.
+their id go to the driver, and at most ``sample_bytes`` of text of each label; a text that doesn't fit is passed over. Scoring is one pass over whole texts, row by row.
 
 Defined cases: null and empty texts get the score of an empty text's features; null ids count as not held out; labels that
 are null or neither 0 nor 1, and labels of documents that don't exist, are ignored; where a class has no labelled row, each
@@ -53,12 +53,12 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, settings: Settings
     order = F.xxhash64("k")
     chosen = known.where("y = 1").orderBy(order, "k").limit(take[1]).unionAll(known.where("y = 0").orderBy(order, "k").limit(take[0]))
     rows = F.broadcast(chosen).join(docs.select(col(id_col).alias("k"), col(text_col).alias("t")), "k")  # at most per_class * (1 + common) ids
-    texts, ys, size = [], [], 0
+    texts, ys, size = [], [], {0: 0, 1: 0}
     for r in rows.orderBy(order, "k", "y").select("y", "t").toLocalIterator():
         t = (r["t"] or "").encode()
-        if size + len(t) > sample_bytes:
-            break
-        size += len(t)
+        if size[r["y"]] + len(t) > sample_bytes:
+            continue
+        size[r["y"]] += len(t)
         texts.append(t)
         ys.append(r["y"])
     if not 0 < sum(ys) < len(ys):
