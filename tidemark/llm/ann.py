@@ -1,18 +1,24 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm, so that the largest inner product is the
-smallest angle. Trees are fitted on a bounded sample (``sample_rows``): a node splits at the median of the projection on
-the difference of two of its sample points; nodes that the sample doesn't reach split at 0 on a random direction. Every
-row is put into its leaf of each tree. A query walks all trees through one priority queue, ordered by the smallest margin
-on the way, until it has ``leaves`` leaves; the rows of those leaves are ranked by their exact inner products.
+smallest angle. Trees are fitted on a bounded sample (``sample_rows``) and are at most as deep as it can fill: a node
+splits at the median of the projection on the difference of two centres of its sample points (two-means from two random
+ones). So the broadcast forest is bounded, whatever the table. Every row is put into its leaf of each tree. A query walks
+all trees through one priority queue, ordered by the smallest margin on the way, until it has ``leaves`` leaves; the rows
+of those leaves are ranked by their exact inner products.
 
 How many leaves is settled by measurement: for a bounded set of queries (``probe_queries``) the true neighbours are found
-among all rows, and the least number is taken by which ``target`` of them are reached. Rows of a leaf group are split
-into blocks of ``block_rows``, so that a common vector doesn't fill one task; queries are split likewise.
+among all rows, and the least number is taken by which ``target`` of them are reached.
+
+A tree's leaves make ``GROUPS`` runs, whatever the table, so a query goes to at most ``trees * GROUPS`` of them and brings
+its ``k`` best back from each: rows moved and made grow with the table, not with its square. Queries of a run are split
+into tiles of ``query_rows``, its rows into tiles of ``vector_rows``; a task holds a query tile and streams the rows past
+it, leaf by leaf, so that neither a common vector nor a large run fills a task's memory.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do those of
-another length than the most frequent (the longer, if two are); ties go to the smaller id; repeated ids are one row each
-in the index and give each neighbour once; no vectors give no rows; other columns are ignored.
+another length than the most frequent (the longer, if two are), since no inner product is defined for them; ties go to the
+smaller id, by exact scores (of equal vectors a task keeps the ``k + 1`` smallest ids); repeated ids are one row each in
+the index and give each neighbour once; no vectors give no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import col, written
 
+GROUPS = 4
+
 
 class Forest:
     """Heap-ordered perfect trees: node i has children 2i+1 and 2i+2; leaves are numbered 0 .. 2^depth - 1."""
@@ -41,10 +49,7 @@ class Forest:
             members = {0: np.arange(len(points))}
             for node in range(self.inner):
                 own = members.pop(node, np.empty(0, dtype=int))
-                plane = rng.normal(size=dim)
-                if len(own) >= 2:
-                    a, b = points[rng.choice(own, 2, replace=False)]
-                    plane = a - b if np.any(a != b) else plane
+                plane = self._plane(points[own], rng) if len(own) >= 2 else rng.normal(size=dim)
                 plane = plane / np.linalg.norm(plane)
                 at = points[own] @ plane
                 cut = float(np.median(at)) if len(own) >= 2 else 0.0
@@ -52,6 +57,23 @@ class Forest:
                 right = at > self.cuts[t, node]
                 members[2 * node + 1], members[2 * node + 2] = own[~right], own[right]
 
+    @staticmethod
+    def _plane(points: np.ndarray, rng) -> np.ndarray:
+        """The difference of two centres; a random direction if the points are equal."""
+        a, b = points[rng.choice(len(points), 2, replace=False)]
+        if not np.any(a != b):
+            return rng.normal(size=points.shape[1])
+        some = points[rng.choice(len(points), min(len(points), 1024), replace=False)]
+        for _ in range(6):
+            nearer = some @ (a - b) > 0.5 * (a @ a - b @ b)
+            if nearer.all() or not nearer.any():
+                break
+            c, d = some[nearer].mean(axis=0), some[~nearer].mean(axis=0)
+            if not np.any(c != d):
+                break
+            a, b = c, d
+        return a - b
+
     def lift(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0.0, self.top**2 - np.einsum("ij,ij->i", x, x)))
         return np.hstack([x, rest[:, None]])
@@ -67,61 +89,97 @@ class Forest:
             out[:, t] = node - self.inner
         return out
 
-    def walk(self, q: np.ndarray, count: int) -> list[int]:
-        """The first ``count`` leaves, as tree * 2^depth + leaf, of one (lifted) query, nearest first."""
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """For each row of (lifted) ``x`` its side of every node, as trees times nodes in one row."""
+        return x @ self.planes.reshape(-1, x.shape[1]).T.astype(np.float64) - self.cuts.reshape(-1)
+
+    def walk(self, margins: np.ndarray, count: int) -> list[int]:
+        """The first ``count`` leaves, as tree * 2^depth + leaf, of a query with these margins, nearest first."""
+        at, inner = margins.tolist(), self.inner
         queue = [(-math.inf, t, 0) for t in range(self.trees)]
         found: list[int] = []
         while queue and len(found) < count:
             priority, t, node = heapq.heappop(queue)
-            if node >= self.inner:
-                found.append(t * (self.inner + 1) + node - self.inner)
+            if node >= inner:
+                found.append(t * (inner + 1) + node - inner)
                 continue
-            margin = float(q @ self.planes[t, node]) - float(self.cuts[t, node])
+            margin = at[t * inner + node]
             heapq.heappush(queue, (max(priority, -margin), t, 2 * node + 2))
             heapq.heappush(queue, (max(priority, margin), t, 2 * node + 1))
         return found
 
 
+class Best:
+    """The ``k`` best rows so far of each query of a tile: the largest exact scores, ties to the smaller id, an id once."""
+
+    PAIRS, PART, CHUNK = 400_000, 512, 2048
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, top: float):
+        self.ids, self.x, self.k = ids, x, k
+        self.slack = 1e-12 * top * np.sqrt(np.einsum("ij,ij->i", x, x))  # what a matrix product may be off
+        self.floor = np.full(len(ids), -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, own: np.ndarray, v_ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Rows that the queries ``own`` (their numbers) are to see."""
+        for lo in range(0, len(v_ids), self.CHUNK):
+            ids, v = v_ids[lo : lo + self.CHUNK], vectors[lo : lo + self.CHUNK]
+            once = len(np.unique(ids)) == len(ids)
+            for first in range(0, len(own), self.PART):
+                q = own[first : first + self.PART]
+                scores = self.x[q] @ v.T
+                scores[self.ids[q][:, None] == ids[None, :]] = -np.inf
+                least = self.floor[q]
+                if once and len(ids) > self.k:
+                    least = np.maximum(least, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+                at, row = np.nonzero((scores >= (least - self.slack[q])[:, None]) & (scores > -np.inf))
+                exact = (v[row] * self.x[q[at]]).sum(axis=1)  # equal for equal vectors
+                self.held.append((q[at], ids[row], exact))
+                self.size += len(at)
+                if self.size > self.PAIRS + 4 * self.k * len(self.ids):
+                    self.settle()
+
+    def settle(self) -> None:
+        if not self.held:
+            return
+        q, v, s = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((-s, v, q))
+        q, v, s = q[order], v[order], s[order]
+        new = np.concatenate(([True], (q[1:] != q[:-1]) | (v[1:] != v[:-1])))[: len(q)]
+        q, v, s = q[new], v[new], s[new]
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        starts = np.searchsorted(q, np.arange(len(self.ids)))
+        rank = np.arange(len(q)) - starts[q]
+        last = rank == self.k - 1
+        self.floor[q[last]] = s[last]
+        kept = rank < self.k
+        self.held, self.size = [(q[kept], v[kept], s[kept])], int(kept.sum())
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, row ids, scores)."""
+        self.settle()
+        if not self.held:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        q, v, s = self.held[0]
+        return self.ids[q], v, s
+
+
 def _matrix(column) -> np.ndarray:
     """An Arrow list column as a matrix of doubles."""
     n = len(column)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.empty((0, 0))
 
 
-def _chunked(table, name):
-    return table.column(name).combine_chunks()
-
-
-def _nearest(q_ids, queries, v_ids, vectors, k: int, allowed=None):
-    """For each query its k best rows: (query index, row index, score), ties to the smaller id. allowed(lo, hi): a mask."""
-    order = np.argsort(v_ids, kind="stable")
-    v_ids, vectors = v_ids[order], vectors[order]
-    starts = np.flatnonzero(np.concatenate(([True], v_ids[1:] != v_ids[:-1])))  # an id stands once, with its best score
-    every, v_ids = v_ids, v_ids[starts]
-    for lo in range(0, len(queries), 256):
-        part = queries[lo : lo + 256]
-        scores = part @ vectors.T
-        if allowed is not None:
-            scores[~allowed(lo, lo + len(part))[:, order]] = -np.inf
-        if len(starts) < len(every):
-            scores = np.maximum.reduceat(scores, starts, axis=1)
-        scores[q_ids[lo : lo + len(part), None] == v_ids[None, :]] = -np.inf
-        cut = np.partition(scores, len(v_ids) - k, axis=1)[:, len(v_ids) - k] if len(v_ids) > k else np.full(len(part), -1e300)
-        for i in range(len(part)):
-            near = np.flatnonzero((scores[i] >= cut[i] - 1e-9 * (1 + abs(cut[i]))) & (scores[i] > -np.inf))
-            exact = scores[i, near] if len(starts) < len(every) else (vectors[near] * part[i]).sum(axis=1)  # equal for equal vectors
-            best = np.argsort(-exact, kind="stable")[:k]
-            yield lo + i, v_ids[near[best]], exact[best]
-
-
 _OUT = "query_id long, vec_id long, score double"
 
 
-def _batch(q, v, s):
+def _batch(best: Best):
     import pyarrow as pa
 
-    cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.empty(0), kind)
-    return {"query_id": cat(q, pa.int64()), "vec_id": cat(v, pa.int64()), "score": cat(s, pa.float64())}
+    q, v, s = best.rows()
+    return pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -133,11 +191,88 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _top(df: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query over all tasks: one shuffle, by the query."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    once = df.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+class _Tile:
+    """One task's share: a query tile, then the rows of its run, sorted by leaf, hash of the vector and id."""
 
+    def __init__(self, k: int, top: float):
+        self.k, self.top, self.queries, self.best = k, top, [], None
+        self.seen = (None, None, None, 0)  # leaf, hash and id of the last row, and how many ids its vector has shown
 
-def nearest_neighbors(df: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", query: str = "id % 20 = 0", trees: int = 4, leaf_rows: int = 192, sample_rows: int = 16384, probe_queries: int = 96, target: float = 0.96, block_rows: int = 8192, seed: int = 11) -> DataFrame:
+    def take_queries(self, batch) -> None:
+        self.queries.append(batch)
+
+    def _start(self) -> None:
+        import pyarrow as pa
+
+        table = pa.Table.from_batches(self.queries)
+        one = lambda name: table.column(name).combine_chunks()
+        self.best = Best(one("id").to_numpy(), _matrix(one("x")), self.k, self.top)
+        walked = one("leaves")
+        flat, many = walked.flatten().to_numpy(), np.diff(walked.offsets.to_numpy())
+        query = np.repeat(np.arange(len(many)), many)
+        order = np.argsort(flat, kind="stable")
+        leaves, starts = np.unique(flat[order], return_index=True)
+        self.by_leaf = dict(zip(leaves.tolist(), np.split(query[order], starts[1:]), strict=True))
+        self.queries = []
+
+    def _kept(self, leaf: int, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The rows that can be among a query's best: of equal vectors the ``k + 1`` smallest ids, each once."""
+        last_leaf, last_h, last_id, shown = self.seen
+        goes_on = last_leaf == leaf and last_h == h[0]
+        vector = np.concatenate(([not goes_on], h[1:] != h[:-1]))
+        fresh = vector | np.concatenate(([not goes_on or ids[0] != last_id], ids[1:] != ids[:-1]))
+        count = np.cumsum(fresh) + (shown if goes_on else 0)
+        starts = np.flatnonzero(vector)
+        before = np.zeros(len(h), dtype=np.int64)
+        if len(starts):
+            base = count[starts] - 1
+            before[starts[0] :] = np.repeat(base, np.diff(np.append(starts, len(h))))
+        number = count - before
+        self.seen = (leaf, h[-1], ids[-1], int(number[-1]))
+        return fresh & (number <= self.k + 1)
+
+    def take_rows(self, leaf: int, batch) -> None:
+        if self.best is None:
+            if not self.queries:
+                return
+            self._start()
+        own = self.by_leaf.get(leaf)
+        if own is None:
+            return
+        ids = batch.column("id").to_numpy()
+        kept = self._kept(leaf, batch.column("h").to_numpy(), ids)
+        self.best.add(own, ids[kept], _matrix(batch.column("x"))[kept])
+
+
+def _ranked(batches, k: int, top: float):
+    """Of each part (column ``part``) the best rows of its queries; rows with leaf -1 are the queries and come first."""
+    part, tile = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts, leaves = batch.column("part").to_numpy(), batch.column("leaf").to_numpy()
+        cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (leaves[1:] != leaves[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(parts)], strict=True):
+            if parts[lo] != part:
+                if tile and tile.best:
+                    yield _batch(tile.best)
+                part, tile = parts[lo], _Tile(k, top)
+            run = batch.slice(lo, hi - lo)
+            if leaves[lo] < 0:
+                tile.take_queries(run)
+            else:
+                tile.take_rows(int(leaves[lo]), run)
+    if tile and tile.best:
+        yield _batch(tile.best)
+
+
+def nearest_neighbors(df: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", query: str = "id % 20 = 0", trees: int = 4, leaf_rows: int = 128, sample_rows: int = 16384, probe_queries: int = 96, target: float = 0.95, query_rows: int = 16384, vector_rows: int = 1 << 20, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row that satisfies ``query``, itself excluded."""
     spark = df.sparkSession
     rows = valid_vectors(df, id_col, vector_col)
@@ -145,45 +280,51 @@ def nearest_neighbors(df: DataFrame, k: int, *, id_col: str = "vec_id", vector_c
     n, top2, n_queries = rows.agg(F.count(F.lit(1)), F.max(norm2), F.count(F.when(F.expr(query), 1))).first()
     if not n or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    top = math.sqrt(top2)
     pick = lambda frame, share: frame.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = pick(rows, min(1.0, sample_rows / n)).limit(2 * sample_rows).toArrow()
-    points = _matrix(_chunked(sample, "x")) if sample.num_rows else np.ones((1, len(rows.select("x").first()["x"])))
-    depth = max(0, math.ceil(math.log2(max(1, n / leaf_rows))))
-    shape = spark.sparkContext.broadcast(Forest(points, math.sqrt(top2), trees, depth, seed))
+    points = _matrix(sample.column("x").combine_chunks()) if sample.num_rows else np.ones((1, len(rows.select("x").first()["x"])))
+    deepest = max(0, int(math.log2(max(1, len(points) / 8))))  # a leaf has eight points of the sample
+    depth = min(deepest, max(0, math.ceil(math.log2(max(1, n / leaf_rows)))))
+    shape = spark.sparkContext.broadcast(Forest(points, top, trees, depth, seed))
 
     # The probe: true neighbours of a bounded number of queries among all rows, then how far each walk has to go.
     probes = pick(rows.where(query), min(1.0, probe_queries / n_queries)).limit(2 * probe_queries).toArrow()
-    p_ids, p_x = _chunked(probes, "id").to_numpy(), _matrix(_chunked(probes, "x"))
+    p_ids, p_x = probes.column("id").combine_chunks().to_numpy(), _matrix(probes.column("x").combine_chunks())
     shared = spark.sparkContext.broadcast((p_ids, p_x))
 
     def truth(batches):
         import pyarrow as pa
 
         ids, x = shared.value
-        forest = shape.value
+        best, every, forest, where = Best(ids, x, k, top), np.arange(len(ids)), shape.value, {}
         for b in batches:
-            if b.num_rows and len(ids):
+            if b.num_rows:
                 v, m = b.column(0).to_numpy(), _matrix(b.column(1))
-                where = {int(i): leaf for i, leaf in zip(v, forest.leaves(forest.lift(m)), strict=True)}
-                for i, near, scores in _nearest(ids, x, v, m, k):
-                    yield pa.RecordBatch.from_pydict({"query_id": [int(ids[i])] * len(near), "vec_id": near, "score": scores, "leaves": [where[int(j)].tolist() for j in near]})
-
-    every = trees << depth
+                best.add(every, v, m)
+                best.settle()
+                near = {int(i) for i in best.held[0][1]}
+                own = np.flatnonzero(np.isin(v, list(near)))
+                leaves = forest.leaves(forest.lift(m[own]))
+                for i, leaf in zip(v[own].tolist(), leaves.tolist(), strict=True):
+                    where.setdefault(i, leaf)
+                where = {i: leaf for i, leaf in where.items() if i in near}
+        q, v, s = best.rows()
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64()), "leaves": pa.array([where[i] for i in v.tolist()], pa.list_(pa.int64()))})
+
+    leaves = every = trees << depth
     if len(p_ids):
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         true = rows.select("id", "x").mapInArrow(truth, _OUT + ", leaves array<long>").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "leaves").collect()  # probe_queries * k rows
-        forest, walks = shape.value, {}
-        lifted = dict(zip(p_ids.tolist(), forest.lift(p_x), strict=True))
-        steps = []
+        forest, walks, steps = shape.value, {}, []
+        margins = dict(zip(p_ids.tolist(), forest.margins(forest.lift(p_x)), strict=True))
         for row in true:
             if row["query_id"] not in walks:
-                walks[row["query_id"]] = {leaf: i for i, leaf in enumerate(forest.walk(lifted[row["query_id"]], every))}
+                walks[row["query_id"]] = {leaf: i for i, leaf in enumerate(forest.walk(margins[row["query_id"]], every))}
             steps.append(1 + min(walks[row["query_id"]][(t << depth) + leaf] for t, leaf in enumerate(row["leaves"])))
         leaves = sorted(steps)[min(len(steps) - 1, math.ceil(target * len(steps)))] if steps else every
-    else:
-        leaves = every
 
-    span = max(1, block_rows // leaf_rows)  # leaves next to one another make a group
+    span = max(1, (1 << depth) // GROUPS)  # leaves next to one another make a run
 
     def place(batches):
         import pyarrow as pa
@@ -194,7 +335,7 @@ def nearest_neighbors(df: DataFrame, k: int, *, id_col: str = "vec_id", vector_c
                 at = forest.leaves(forest.lift(_matrix(b.column(1)))) + (np.arange(trees) << depth)
                 take = pa.array(np.repeat(np.arange(b.num_rows), trees))
                 at = at.reshape(-1)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at // span), pa.array(at)], names=["id", "x", "grp", "leaf"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(at // span), pa.array(at)], names=["id", "x", "h", "grp", "leaf"])
 
     def route(batches):
         import pyarrow as pa
@@ -204,42 +345,31 @@ def nearest_neighbors(df: DataFrame, k: int, *, id_col: str = "vec_id", vector_c
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 take, grp, sets = [], [], []
-                for i, q in enumerate(forest.lift(_matrix(part.column(1)))):
+                for i, margins in enumerate(forest.margins(forest.lift(_matrix(part.column(1))))):
                     by: dict[int, list[int]] = {}
-                    for leaf in forest.walk(q, leaves):
+                    for leaf in forest.walk(margins, leaves):
                         by.setdefault(leaf // span, []).append(leaf)
                     take += [i] * len(by)
                     grp += by.keys()
                     sets += by.values()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int64())), part.column(1).take(pa.array(take, pa.int64())), pa.array(grp, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "x", "grp", "leaves"])
+                at = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(grp, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "x", "grp", "leaves"])
 
-    index = written(rows.mapInArrow(place, "id long, x array<double>, grp long, leaf long"), "ann-index")
+    index = written(rows.select("id", "x", F.xxhash64("x").alias("h")).mapInArrow(place, "id long, x array<double>, h long, grp long, leaf long"), "ann-index")
     walks = written(rows.where(query).mapInArrow(route, "id long, x array<double>, grp long, leaves array<long>"), "ann-walks")
-    blocks = lambda frame, name: frame.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-    sizes = written(blocks(index, "vb").join(blocks(walks, "qb"), "grp"), "ann-blocks")  # a row a group
-    salt = lambda own, other: (F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own + "_at"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other + "_at"))
-    left = walks.join(sizes, "grp").select("id", "x", "leaves", "grp", *salt("qb", "vb"))
-    right = index.join(sizes, "grp").select("id", "x", "leaf", "grp", *salt("vb", "qb"))
-
-    def rank(qs, vs):
-        import pyarrow as pa
-
-        q, v, s = [], [], []
-        if qs.num_rows and vs.num_rows:
-            q_ids, v_ids, at = _chunked(qs, "id").to_numpy(), _chunked(vs, "id").to_numpy(), _chunked(vs, "leaf").to_numpy()
-            numbers, at = np.unique(at, return_inverse=True)
-            slot = {int(x): i for i, x in enumerate(numbers)}
-            may = np.zeros((len(q_ids), len(numbers)), dtype=bool)
-            for i, own in enumerate(_chunked(qs, "leaves").to_pylist()):
-                may[i, [slot[x] for x in own if x in slot]] = True
-            for i, near, scores in _nearest(q_ids, _matrix(_chunked(qs, "x")), v_ids, _matrix(_chunked(vs, "x")), k, lambda lo, hi: may[lo:hi][:, at]):
-                q.append(np.full(len(near), q_ids[i]))
-                v.append(near)
-                s.append(scores)
-        return pa.table(_batch(q, v, s))
-
-    key = ["grp", "qb_at", "vb_at"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(rank, _OUT)
+    tiles = lambda frame, size, name: frame.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = tiles(index, vector_rows, "vb").join(tiles(walks, query_rows, "qb"), "grp")  # a row a run: trees * GROUPS at most
+    before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = written(sizes.withColumn("first", F.coalesce(F.sum(F.col("qb") * F.col("vb")).over(before), F.lit(0)).cast("int")), "ann-tiles")
+    parts = sizes.agg(F.sum(F.col("qb") * F.col("vb"))).first()[0] or 1
+    own = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    others = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    part = (F.col("first") + F.col("q") * F.col("vb") + F.col("v")).cast("int").alias("part")
+    none = F.lit(None).cast("array<long>").alias("leaves")
+    left = walks.join(F.broadcast(sizes), "grp").withColumn("q", own("qb")).withColumn("v", others("vb")).select(part, F.lit(-1).cast("long").alias("leaf"), F.lit(0).cast("long").alias("h"), "id", "x", "leaves")
+    right = index.join(F.broadcast(sizes), "grp").withColumn("v", own("vb")).withColumn("q", others("qb")).select(part, "leaf", "h", "id", "x", none)
+    dealt = left.unionAll(right).repartitionById(int(parts), F.col("part")).sortWithinPartitions("part", "leaf", "h", "id")
+    found = dealt.mapInArrow(lambda batches: _ranked(batches, k, top), _OUT)
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
