@@ -2,8 +2,8 @@
 
 Both vocabularies cut a text before any merge: a single blank between two other characters always starts a new unit. So a
 text is cut there first, each different unit is encoded once by the library and kept as little-endian 32-bit ids, and a
-document is the joined bytes of its units. A text with runs of white space, where that rule isn't plain, goes to the
-library whole.
+document is the joined bytes of its units. A text where that rule isn't plain (runs of white space, for bytes) or that
+holds the string of a special token, which the library by its default settings makes that token, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -37,12 +37,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        self.added = [a["content"] for a in added]
         kinds = [spec["pre_tokenizer"]["type"], (spec.get("normalizer") or {}).get("type")]
         #: Bytes keep their blanks; words drop white space; any other kind is never cut.
         self.mode = {("ByteLevel", None): "bytes", ("Sequence", "Sequence"): "words"}.get(tuple(kinds), "whole")
+        if any(a.get("normalized") for a in added):  # found in what the normaliser makes of a text, not in the text
+            self.mode = "whole"
         self.cache: dict[str, bytes] = {}
         self._model = self.tokenizer.model
         self.newline = self._ids(["\n"])[0] if self.mode == "bytes" else b""
@@ -94,11 +97,11 @@ class Encoder:
         return [b"".join(ids) for ids in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.mode == "words":
-            return self._joined([t.replace("\n", " ").split(" ") for t in texts])
-        odd = {i for i, t in enumerate(texts) if self.mode == "whole" or _RUN.search(t)}
+        runs, every, added = self.mode == "bytes", self.mode == "whole", self.added
+        odd = {i for i, t in enumerate(texts) if every or runs and _RUN.search(t) or any(a in t for a in added)}
         whole = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
-        rows = self._joined([[] if i in odd else f"\n{t}".replace("\n", " \n").split(" ")[1:] for i, t in enumerate(texts)])
+        cut = (lambda t: f"\n{t}".replace("\n", " \n").split(" ")[1:]) if runs else (lambda t: t.replace("\n", " ").split(" "))
+        rows = self._joined([[] if i in odd else cut(t) for i, t in enumerate(texts)])
         skip = len(self.newline)
         return [whole[i] if i in odd else r[skip:] for i, r in enumerate(rows)]
 
