@@ -2,10 +2,12 @@
 
 A document of n ids is cut into n div max_len pieces of max_len and one piece for each set bit of the rest, longest
 first. Every piece is a sequence by itself: its length is a power of two, so it needs no padding, and sequences of one
-length lie together (a folder and a contiguous run of sequence ids a length), ready for batches of equal shape.
+length lie together (a contiguous run of sequence ids a length, and one run of rows of a length in each written file, which
+Parquet's statistics skip or find), ready for batches of equal shape. A task writes one file; no token is shuffled.
 
-Defined cases: a null or empty text is the end id alone, one piece of length 1; equal texts and repeated rows are packed
-each for itself; an empty table gives no pieces; only the id and the text are read, whatever else the table has.
+Defined cases: a null or empty text is the end id alone, one piece of length 1; a very long text is cut like any other;
+equal texts and repeated rows are packed each for itself; null ids are carried; an empty table gives no pieces; only the id
+and the text are read, whatever else the table has and whatever its columns' names.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import col, written
 from .tokens import encoder, in_parts, tokenizer_path
 
+#: Rows (a task and length each) of the table of first sequence ids that may be broadcast; a larger one is joined by shuffling.
+BROADCAST_RUNS = 1_000_000
 SCHEMA = "doc_id long, start long, doc_tokens long, ids binary, task int, nth long, length int"
 
 
@@ -59,11 +63,13 @@ def pack(df: DataFrame, *, tokenizer: str, end_id: int, max_len: int = 4096, id_
                     at += 1
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array(piece, pa.binary()), pa.array([task] * len(doc), pa.int32()), pa.array(nth, pa.int64()), pa.array(length, pa.int32())], names=["doc_id", "start", "doc_tokens", "ids", "task", "nth", "length"])
 
-    pieces = written(df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(cut, SCHEMA), "pieces", ["length"])
+    cuts = df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(cut, SCHEMA)
+    pieces = written(cuts.sortWithinPartitions(F.desc("length"), "nth"), "pieces")
     runs = pieces.groupBy("length", "task").agg((F.max("nth") + 1).alias("n"))
     before = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task and length
     first = runs.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    placed = pieces.join(first, ["length", "task"])
+    first = written(first, "first-sequences")
+    placed = pieces.join(F.broadcast(first) if first.count() <= BROADCAST_RUNS else first, ["length", "task"])
     return placed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
