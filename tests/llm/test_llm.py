@@ -1,5 +1,6 @@
 """Each operator against a plain form, on the test tables and on rows made to be awkward."""
 
+import functools
 import io
 import itertools
 import random
@@ -8,6 +9,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, chat, classify, compression, decontaminate, licenses, near_dup, packing, sharding, token_files
@@ -43,6 +46,14 @@ def docs(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@functools.cache
+def library(name):
+    """The tokenizer as the library loads it, with nothing set."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
@@ -50,9 +61,17 @@ def crc(ids):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(docs, name):
     texts = [r.text for r in docs.limit(60).collect()] + [t or "" for _, t in AWKWARD] + [" lead", "trail ", "x\n", "\nx", "a\x1cb c", "İ, b", ", ; !"]
-    e = encoder(tokenizer_path(name))
-    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+    texts += ["x <|endoftext|> y", "<|startoftext|>", "a<|endoftext|>b c", "<|ENDOFTEXT|> d", "<|endoftext |> e"]
+    want = [library(name).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(tokenizer_path(name)).encode(texts)] == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from("abcXYZéñßİ中’' \n\t.,;!?0123<|>endoftext\u0301\x1c"), max_size=60), max_size=6))
+def test_encoder_on_any_text(texts):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        want = [library(name).encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder(tokenizer_path(name)).encode(texts)] == want
 
 
 def test_token_files(spark, awkward):
@@ -61,8 +80,7 @@ def test_token_files(spark, awkward):
     assert sorted(map(str, (r.doc_id for r in got))) == sorted(str(i) for i, _ in AWKWARD)
     assert [r.doc_id for r in got if r.doc_id is not None] == sorted(i for i, _ in AWKWARD if i is not None)
     at = 0
-    e = encoder(tokenizer_path("byte_bpe_50k.json"))
-    left = sorted((str(i), e.tokenizer.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in AWKWARD)
+    left = sorted((str(i), library("byte_bpe_50k.json").encode(t or "", add_special_tokens=False).ids + [0]) for i, t in AWKWARD)
     for r in got:
         assert r.start == at
         at += r.n_tokens
@@ -95,9 +113,8 @@ def test_packing(spark, awkward):
     assert sorted(r.sequence_id for r in got) == list(range(len(got)))
     by_id = sorted(got, key=lambda r: r.sequence_id)
     assert [r.length for r in by_id] == sorted((r.length for r in got), reverse=True)
-    e = encoder(tokenizer_path("word_bpe_49k.json"))
     for i, t in AWKWARD:
-        ids = e.tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        ids = library("word_bpe_49k.json").encode(t or "", add_special_tokens=False).ids + [2]
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
         copies = sum(1 for j, _ in AWKWARD if j == i)
         assert sum(r.length for r in own) == copies * len(ids)
@@ -118,6 +135,18 @@ def test_sharding(spark, awkward, docs):
     assert sharding.external_shuffle(docs.limit(0), 24).count() == 0
 
 
+def test_sharding_of_repeated_rows(spark):
+    """Rows that are equal throughout, more than a bucket's share, come back whole and are spread over buckets."""
+    rows = [(5, "same text " * 20, k % 2) for k in range(3000)] + [(i, f"text {i}", 0) for i in range(300)] + [(None, None, 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(3)
+    got = sharding.external_shuffle(df, 7, bucket_bytes=1 << 15).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t, _ in rows)
+    counts = [sorted(r.slot for r in got if r.shard == s) for s in range(7)]
+    assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
+    common = sharding._numbered(df, "doc_id", "text").where("v.text LIKE 'same%'").collect()
+    assert sorted((r.v.slot, r.number) for r in common) == sorted((s, n) for s in (0, 1) for n in range(1500))
+
+
 def _brute_groups(rows):
     sets = {}
     for i, t in rows:
@@ -147,6 +176,36 @@ def test_near_duplicates(spark, awkward, docs):
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    a, b = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    edit = lambda w: " ".join([*w[:100], "other", *w[101:]])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (1, edit(a)), (2, edit(b)), (9, "alone here")]
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, component_id string, n long")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == {7: 1, 1: 1, 2: 1, 9: 9}
+    kept = near_dup.one_of_each(df)
+    assert kept.columns == df.columns and {(r.doc_id, r.text) for r in kept.collect()} == {rows[2], rows[3], rows[4]}
+    stay = spark.createDataFrame([(7, " ".join(a)), (7, " ".join(b)), (7, " ".join(a)), (None, "x y"), (None, "x y"), (3, None), (3, None), (3, "")], "doc_id long, text string")
+    assert sorted(map(str, near_dup.one_of_each(stay).collect())) == sorted(map(str, [r for r in stay.distinct().collect() if r.doc_id == 7] + [r for r in stay.collect() if r.doc_id != 7]))
+    assert near_dup.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_thresholds(spark, percent):
+    """Pairs just at and just below the threshold: n words more in one of two texts that are else equal."""
+    assert (1 - (percent / 100) ** near_dup.bands_for(percent).rows) ** near_dup.bands_for(percent).count < 5e-6
+    rows, want, shingles = [], {}, 200
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(shingles + 4)]
+        union = shingles * 100 // percent + (k % 2)  # k odd: one shingle too many
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + [f"m{k}x{i}" for i in range(union - shingles)]))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (1 if 100 * shingles < percent * union else 0)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, percent=percent).collect()}
+    assert got == want
+    assert {r.doc_id for r in near_dup.one_of_each(df, percent=percent).collect()} == set(want.values())
+
+
 def test_near_duplicates_large_group(spark, monkeypatch):
     """Copies that link only through others, in buckets that need several blocks."""
     monkeypatch.setattr(near_dup, "BLOCK", 16)
@@ -187,13 +246,35 @@ def test_neighbor_ties(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_neighbors_of_common_vectors(spark):
+    """A vector that a third of all rows share, repeated ids, one id with two vectors, clashing columns; every leaf is searched."""
+    rng = np.random.default_rng(3)
+    common = rng.normal(size=16).tolist()
+    rows = [(i, common if i % 3 == 0 else rng.normal(size=16).tolist()) for i in range(1800)]
+    rows += [(3, common)] * 40 + [(7, rng.normal(size=16).tolist())]
+    df = spark.createDataFrame([(i, v, 1, 0.5, 2) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double, id int")
+    got = ann.nearest_neighbors(df, 20, target=1.0, probe_queries=400, query_rows=32, vector_rows=600).collect()
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    queries = sorted({i for i in ids.tolist() if i % 20 == 0})
+    assert {r.query_id for r in got} == set(queries)
+    for q in queries:
+        best = {}
+        for at in np.flatnonzero(ids == q):
+            for i, s in zip(ids.tolist(), (x * x[at]).sum(axis=1).tolist(), strict=True):
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), s)
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [(r.vec_id, r.score) for r in own] == want, q
+
+
 #: Least accuracy, recall of label 1 and of label 0. The labels of this size hold 350 toxic texts in four languages, too few
 #: for all their words, and the decision point spares clean text (a wrong rejection counts four times).
-@pytest.mark.parametrize(("label", "settings", "mod", "rem", "least"), [("quality", classify.QUALITY, 3, 1, (0.97, 0.95, 0.9)), ("toxic", classify.TOXICITY, 5, 0, (0.93, 0.5, 0.98))])
-def test_classifiers(spark, awkward, label, settings, mod, rem, least):
+@pytest.mark.parametrize(("label", "chosen", "mod", "rem", "least"), [("quality", classify.QUALITY, 3, 1, (0.97, 0.95, 0.9)), ("toxic", classify.TOXICITY, 5, 0, (0.93, 0.5, 0.98))])
+def test_classifiers(spark, awkward, label, chosen, mod, rem, least):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    model = classify.learn(docs, labels.where(~classify.held_out("doc_id", mod, rem)), label, settings, **classify.LEARN[label])
+    model = classify.learn(docs, labels.where(~classify.held_out("doc_id", mod, rem)), label, chosen, **classify.LEARN[label])
     held = classify.scored(docs.join(labels, "doc_id").where(classify.held_out("doc_id", mod, rem)), model).select(label, "score").collect()
     right = np.mean([(r.score >= 0.5) == bool(r[label]) for r in held])
     recall = np.mean([r.score >= 0.5 for r in held if r[label] == 1])
@@ -201,7 +282,7 @@ def test_classifiers(spark, awkward, label, settings, mod, rem, least):
     assert right > least[0] and recall > least[1] and clean > least[2], (right, recall, clean)
     out = classify.scored(awkward, model).collect()
     assert len(out) == len(AWKWARD) and all(0 <= r.score <= 1 for r in out) and set(out[0].asDict()) == {"doc_id", "text", "shard", "score", "matches"}
-    none = classify.learn(docs, labels.where(f"{label} = 1"), label, settings)
+    none = classify.learn(docs, labels.where(f"{label} = 1"), label, chosen)
     assert none.scores([b"x"])[0] > 0.5
 
 
