@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..model import EngineError, Series
 
 
@@ -53,6 +54,26 @@ def map_product(*series: Series) -> Series:
     return map_series(lambda *v: reduce(lambda a, b: a * b, v), list(series))
 
 
+def map_difference(a: Series, b: Series) -> Series:
+    _numeric([a, b], "difference")
+    return map_series(lambda x, y: x - y, [a, b])
+
+
+def map_quotient(a: Series, b: Series) -> Series:
+    """Of integers towards minus infinity, with an error for a divisor of 0; of doubles as IEEE 754 has it."""
+    _numeric([a, b], "quotient")
+    if a.dtype == "int":
+        return map_series(scalars.floor_div, [a, b])
+    endless, none = F.lit(float("inf")), F.lit(float("nan"))
+    by_zero = lambda x: F.when(x > 0, endless).when(x < 0, -endless).otherwise(none)
+    return map_series(lambda x, y: F.when(y == 0, F.when(F.isnan(x), none).otherwise(by_zero(x))).otherwise(x / F.when(y != 0, y)), [a, b])
+
+
+def kept(series: Series, condition: Callable) -> Series:
+    """The rows for which ``condition`` of the value as a column is true."""
+    return series.with_df(series.df.where(condition(F.col("value"))))
+
+
 def _constant(series: Series, c, what: str):
     _numeric([series], what)
     if isinstance(c, bool) or (series.dtype == "int") != isinstance(c, int):

@@ -40,7 +40,7 @@ def collapse(series: Series, op: str, k: int, weights: list | None = None, block
     """``op`` is sum, product or convolve; the sum of strings is their concatenation."""
     v, text = F.col("value"), series.dtype == "string"
     if text and op != "sum":
-        raise EngineError("String does not support product or convolve")
+        raise EngineError("strings can only be summed in a window")
     if op == "sum":
         value = lambda _, w: F.array_join(F.collect_list(v).over(w), "") if text else F.sum(v).over(w)
     elif op == "product":
@@ -66,7 +66,7 @@ def collapse(series: Series, op: str, k: int, weights: list | None = None, block
 def differentiate(series: Series, *, negate: bool = False) -> Series:
     """Each value less the next one (``negate``: the other way round), at the first one's slot."""
     if series.dtype == "string":
-        raise EngineError("String does not support product or convolve")
+        raise EngineError("strings can't be differentiated")
     one = -1 if negate else 1
     weights = [one, -one] if series.dtype == "int" else [float(one), float(-one)]
     return collapse(series, "convolve", 2, weights)

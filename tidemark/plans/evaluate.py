@@ -15,9 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..model import Collection, EngineError, Series
+from ..model import Collection, EngineError, Series, ntz
 from ..operators import maps, resample, windows
-from .syntax import Ap, Block, Duration, Lam, Let, Lit, Moment, PCon, PLit, PVar, Typed, Var, parse
+from .syntax import TUPLE, Ap, Block, Duration, Lam, Let, Lit, Moment, PCon, PLit, PVar, Tuple, Typed, Var, parse
 
 DEPTH = 900
 #: Calls inside one another while a function is lifted; deeper ones are recursion on data.
@@ -28,6 +28,17 @@ class NotLiftable(EngineError):
     """A function that can't be one column expression."""
 
 
+class Failed(EngineError):
+    """An error of a value (``error``, overflow, division by zero): only whoever needs the value meets it.
+
+    ``message``: text, or a column of it while a function is lifted.
+    """
+
+    def __init__(self, message):
+        super().__init__("an error of a row's values" if isinstance(message, Lifted) else message)
+        self.message = message
+
+
 @dataclass(frozen=True)
 class Data:
     """A constructor with its arguments (thunks): True, False, Null, Cons."""
@@ -44,6 +55,27 @@ class Lifted:
     dtype: str  # int, double, string, bool
 
 
+class Value:
+    """What a host's own values are made of: subclass it, and programs can build, match, read and combine them.
+
+    ``type_name`` is the name in messages; ``constructor`` and ``parts()`` are what patterns see; ``fields()`` is what
+    ``.field`` reads; ``combine(name, other, swapped)`` is an operator's result (names: add, subtract, multiply, divide),
+    or NotImplemented.
+    """
+
+    type_name = "Value"
+    constructor: str | None = None
+
+    def parts(self) -> tuple:
+        return ()
+
+    def fields(self) -> dict[str, object]:
+        return {}
+
+    def combine(self, name: str, other, swapped: bool):
+        return NotImplemented
+
+
 @dataclass
 class Fn:
     arity: int
@@ -76,8 +108,10 @@ TRUE, FALSE, NULL = Data("True"), Data("False"), Data("Null")
 def kind(v) -> str:
     if isinstance(v, Lifted):
         return {"int": "Int", "double": "Double", "string": "String", "bool": "Bool"}[v.dtype]
+    if isinstance(v, Value):
+        return v.type_name
     if isinstance(v, Data):
-        return "Bool" if v.name in ("True", "False") else "List"
+        return "Bool" if v.name in ("True", "False") else "Tuple" if v.name == TUPLE else "List"
     for t, name in ((bool, "Bool"), (int, "Int"), (float, "Double"), (str, "String"), (Series, "TimeSeries"), (Collection, "TimeSeriesCollection"), (Fn, "Function"), (Duration, "Duration"), (Moment, "DateTime")):
         if isinstance(v, t):
             return name
@@ -86,7 +120,7 @@ def kind(v) -> str:
 
 def _in_range(v):
     if isinstance(v, int) and not -(2**63) <= v < 2**63:
-        raise EngineError("integer overflow")
+        raise Failed("integer overflow")
     return v
 
 
@@ -111,6 +145,9 @@ def _arith(name: str, plain: Callable, column: Callable, kinds: dict[tuple[str,
         pair = (kind(x), kind(y))
         if pair == ("TimeSeries", "TimeSeries") and series:
             return series(x, y)
+        for a, b, swapped in ((x, y, False), (y, x, True)):
+            if isinstance(a, Value) and (out := a.combine(name, b, swapped)) is not NotImplemented:
+                return out
         if pair not in kinds:
             raise EngineError(f"cannot {name} {pair[0]} and {pair[1]} objects")
         if isinstance(x, Lifted) or isinstance(y, Lifted):
@@ -118,7 +155,7 @@ def _arith(name: str, plain: Callable, column: Callable, kinds: dict[tuple[str,
         try:
             return _in_range(plain(x, y))
         except ZeroDivisionError:
-            raise EngineError("division by zero") from None
+            raise Failed("division by zero") from None
 
     return Fn(2, run)
 
@@ -135,25 +172,48 @@ def _multiply(x, y):
 
 
 _NUM = {("Int", "Int"): "Int", ("Double", "Double"): "Double"}
-_MUL = _arith("multiply", lambda a, b: a * b, lambda a, b: a * b, _NUM)
+_MUL = _arith("multiply", lambda a, b: a * b, lambda a, b: a * b, _NUM, maps.map_product)
 _INT = {("Int", "Int"): "Int"}
 
 
 def _power(a: int, b: int) -> int:
     if b < 0:
-        raise EngineError("Negative exponent")
+        raise Failed("a power's exponent can't be negative")
     if abs(a) > 1 and b > 63:
-        raise EngineError("integer overflow")
+        raise Failed("integer overflow")
     return a**b
 
 
+def _branch(make: Callable):
+    """A branch that only some rows take: its value, or the error that these rows will meet."""
+    try:
+        return make()
+    except Failed as e:
+        return e
+    except NotLiftable:
+        raise
+    except EngineError as e:  # such a program's error depends on the row, so it runs row by row
+        raise NotLiftable(str(e)) from None
+
+
+def _choice(condition: Column, x, y) -> Lifted:
+    """``x`` where the condition holds, else ``y``; either may be Failed."""
+    if isinstance(x, Failed) and isinstance(y, Failed):
+        dtype = "double"
+    else:
+        known = y if isinstance(x, Failed) else x
+        dtype = _DTYPES.get(kind(known))
+        if dtype is None or not any(isinstance(v, Failed) for v in (x, y)) and kind(x) != kind(y):
+            raise NotLiftable("branches of different types")
+    spark_type = {"int": "bigint", "double": "double", "string": "string", "bool": "boolean"}[dtype]
+    column = lambda v: F.raise_error(_column(v.message)).cast(spark_type) if isinstance(v, Failed) else _column(v)
+    return Lifted(F.when(condition, column(x)).otherwise(column(y)), dtype)
+
+
 def _if(c, a, b):
     c = c.force()
     if isinstance(c, Lifted) and c.dtype == "bool":
-        x, y = a.force(), b.force()
-        if kind(x) != kind(y) or kind(x) not in _DTYPES:
-            raise EngineError("the branches of an if must be of one type")
-        return Lifted(F.when(c.column, _column(x)).otherwise(_column(y)), _DTYPES[kind(x)])
+        return _choice(c.column, _branch(a.force), _branch(b.force))
     if kind(c) != "Bool":
         raise EngineError("if needs a Bool")
     return (a if c.name == "True" else b).force()
@@ -170,8 +230,8 @@ def _equal(x, y):
 
 def _and(x, y):
     x = x.force()
-    if isinstance(x, Lifted):
-        return _lift("bool", lambda a, b: a & b, x, y.force())
+    if isinstance(x, Lifted) and x.dtype == "bool":
+        return _choice(x.column, _branch(y.force), FALSE)
     if kind(x) != "Bool":
         raise EngineError("&& needs Bools")
     if x.name == "False":
@@ -190,7 +250,8 @@ def _negate(x):
 
 
 def _error(message):
-    raise EngineError(str(message.force()))
+    v = message.force()
+    raise Failed(v if isinstance(v, Lifted) and v.dtype == "string" else str(v))
 
 
 def _items(v) -> list:
@@ -205,7 +266,7 @@ def _items(v) -> list:
 
 def _field(name, obj):
     name, obj = name.force(), obj.force()
-    fields = obj.fields() if isinstance(obj, (Series, Collection)) else {}
+    fields = obj.fields() if isinstance(obj, (Series, Collection, Value)) else {}
     if name not in fields:
         raise EngineError(f"{kind(obj)} has no field {name}")
     return fields[name]
@@ -225,6 +286,20 @@ def _series(v, what: str) -> Series:
     return v
 
 
+def _count(v) -> int:
+    v = v.force()
+    if kind(v) != "Int":
+        raise EngineError(f"a window's rows are an Int, not a {kind(v)}")
+    return v
+
+
+def _number(v):
+    v = v.force()
+    if kind(v) not in ("Int", "Double"):
+        raise EngineError(f"a {kind(v)} isn't a number")
+    return v
+
+
 def _seconds(v) -> int:
     v = v.force()
     if not isinstance(v, Duration):
@@ -232,6 +307,11 @@ def _seconds(v) -> int:
     return int(v.seconds)
 
 
+def _convolved(weights: list, series: Series) -> Series:
+    """A window as long as the weights."""
+    return windows.collapse(series, "convolve", len(weights), weights)
+
+
 class Evaluator:
     def __init__(self, catalog=None, modules: dict[str, str] | None = None):
         """modules: further names of the two modules ("HeadWater" and "TimeSeries")."""
@@ -239,9 +319,9 @@ class Evaluator:
         self.depth, self.limit = 0, DEPTH
         base = {
             "(+)": _arith("add", lambda a, b: a + b, lambda a, b: a + b, _NUM, maps.map_sum),
-            "(-)": _arith("subtract", lambda a, b: a - b, lambda a, b: a - b, _NUM),
+            "(-)": _arith("subtract", lambda a, b: a - b, lambda a, b: a - b, _NUM, maps.map_difference),
             "(*)": Fn(2, _multiply),
-            "(/)": _arith("divide", lambda a, b: a // b, scalars.floor_div, _INT),
+            "(/)": _arith("divide", lambda a, b: a // b, scalars.floor_div, _INT, maps.map_quotient),
             "(%)": _arith("take the remainder of", lambda a, b: a % b, lambda a, b: a - b * scalars.floor_div(a, b), _INT),
             "(**)": _arith("raise", _power, scalars.int_pow, _INT),
             "(&)": _arith("join the bits of", lambda a, b: a & b, lambda a, b: a.bitwiseAND(b), _INT),
@@ -264,6 +344,12 @@ class Evaluator:
             "mkTSAccessor": Fn(2, _ts_accessor),
             "mapTS": Fn(3, self._map),
             "differentiate": Fn(1, lambda s: windows.differentiate(_series(s, "differentiate"))),
+            "windowSum": Fn(2, lambda k, s: windows.collapse(_series(s, "windowSum"), "sum", _count(k))),
+            "windowProduct": Fn(2, lambda k, s: windows.collapse(_series(s, "windowProduct"), "product", _count(k))),
+            "convolve": Fn(2, lambda w, s: _convolved(_items(w.force()), _series(s, "convolve"))),
+            "scaleTS": Fn(2, lambda c, s: maps.scale(_series(s, "scaleTS"), _number(c))),
+            "shiftTS": Fn(2, lambda c, s: maps.add_constant(_series(s, "shiftTS"), _number(c))),
+            "filterTS": Fn(2, self._filter),
             "sample": Fn(2, lambda d, s: resample.sample(_series(s, "sample"), _seconds(d))),
             "take": Fn(2, lambda d, s: resample.take_last(_series(s, "take"), abs(_seconds(d)))),
             "timeDiff": Fn(2, self._time_diff),
@@ -324,7 +410,7 @@ class Evaluator:
                 if d[0] != "::":
                     self._resolve(d[2], own if d[0] is None else own.union(*map(_bound, d[1])), qualified)
             self._resolve(e.body, own, qualified)
-        elif isinstance(e, Block):
+        elif isinstance(e, (Block, Tuple)):
             for x in e.parts:
                 self._resolve(x, names, qualified)
         elif isinstance(e, Typed):
@@ -345,6 +431,8 @@ class Evaluator:
             for x in e.parts[:-1]:
                 self.eval(x, env)
             return self.eval(e.parts[-1], env)
+        if isinstance(e, Tuple):
+            return Data(TUPLE, tuple(Thunk(lambda x=x: self.eval(x, env)) for x in e.parts))
         return self._typed(self.eval(e.body, env), e.type)
 
     def apply(self, f, x: Thunk):
@@ -353,13 +441,13 @@ class Evaluator:
         args = (*f.args, x)
         if len(args) < f.arity:
             return Fn(f.arity, f.call, args)
-        self.depth += 1
-        if self.depth > self.limit:
-            self.depth = 0
+        if self.depth >= self.limit:
             raise NotLiftable("the evaluation goes too deep")
-        out = f.call(*args)
-        self.depth -= 1
-        return out
+        self.depth += 1
+        try:
+            return f.call(*args)
+        finally:
+            self.depth -= 1
 
     def _letrec(self, defs, env):
         env = dict(env)
@@ -407,11 +495,8 @@ class Evaluator:
                     continue
                 if result is True:
                     return self.eval(body, {**env, **found})
-                mine, rest = self.eval(body, {**env, **found}), call(*args, at=k + 1)
-                if kind(mine) != kind(rest) or kind(mine) not in _DTYPES:
-                    raise NotLiftable("clauses of different types")
-                return Lifted(F.when(result, _column(mine)).otherwise(_column(rest)), _DTYPES[kind(mine)])
-            raise NotLiftable("no clause matches") if any(isinstance(a.value, Lifted) for a in args) else EngineError("no clause matches")
+                return _choice(result, _branch(lambda: self.eval(body, {**env, **found})), _branch(lambda: call(*args, at=k + 1)))
+            raise Failed("no clause matches")
 
         return Fn(len(clauses[0][0]), call)
 
@@ -427,9 +512,17 @@ class Evaluator:
             return v.column == _column(p.value) if isinstance(v, Lifted) else v == p.value
         if isinstance(v, Lifted) and v.dtype == "bool" and not p.args:
             return v.column == F.lit(p.name == "True")
-        if not isinstance(v, Data) or v.name != p.name or len(v.args) != len(p.args):
+        if isinstance(v, Value):
+            name, args = v.constructor, tuple(Thunk(value=x) for x in v.parts())
+        elif p.name == TUPLE and isinstance(v, Data) and v.name == "Cons":  # a tuple also takes a list apart
+            name, args = TUPLE, tuple(Thunk(value=x) for x in _items(v))
+        elif isinstance(v, Data):
+            name, args = v.name, v.args
+        else:
             return False
-        for q, a in zip(p.args, v.args, strict=True):
+        if name != p.name or len(args) != len(p.args):
+            return False
+        for q, a in zip(p.args, args, strict=True):
             if self._match(q, a, found) is not True:
                 return False
         return True
@@ -469,15 +562,29 @@ class Evaluator:
         depth, self.depth, self.limit = self.depth, 0, LIFT_DEPTH
         try:
             out = call(Lifted(F.col("v0"), "double"), Lifted(F.col("v1"), "double"))
+        except Failed as e:  # whatever the row
+            out = _choice(F.lit(True), e, 0.0)
         except (NotLiftable, RecursionError):
             self.depth, self.limit = 0, DEPTH
             return self._row_wise(call, a, b)
         finally:
             self.depth, self.limit = depth, DEPTH
         if kind(out) != "Double":
-            raise EngineError("Did not return double")
+            raise EngineError(f"mapTS needs a Double of each row, not a {kind(out)}")
         return maps.map_series(lambda x, y: _rebound(out, x, y), [a, b], "double")
 
+    def _filter(self, f, s):
+        """The rows of a series for which a function says True; it must be one column expression."""
+        f, s = f.force(), _series(s, "filterTS")
+        depth, self.depth, self.limit = self.depth, 0, LIFT_DEPTH
+        try:
+            out = self._call(f, (Lifted(F.col("value"), s.dtype),))
+        finally:
+            self.depth, self.limit = depth, DEPTH
+        if kind(out) != "Bool":
+            raise EngineError(f"filterTS needs a Bool of each row, not a {kind(out)}")
+        return maps.kept(s, lambda _: _column(out))
+
     def _call(self, f, xs):
         for x in xs:
             f = self.apply(f, Thunk(value=x))
@@ -491,7 +598,7 @@ class Evaluator:
             for p, q in zip(x, y, strict=True):
                 v = call(float(p), float(q))
                 if not isinstance(v, float):
-                    raise EngineError("Did not return double")
+                    raise EngineError(f"mapTS needs a Double of each row, not a {kind(v)}")
                 out.append(v)
             return pd.Series(out, dtype="float64")
 
@@ -554,4 +661,16 @@ def query(text: str, catalog=None, modules: dict[str, str] | None = None):
     out = Evaluator(catalog, modules).run(text)
     if isinstance(out, (int, float, str, Series)) and not isinstance(out, bool):
         return out
-    raise EngineError("Invalid type returned from query")
+    raise EngineError(f"a {kind(out)} isn't a result; numbers, texts and series are")
+
+
+def result_json(result):
+    """A result as JSON: text for a number or string; for a series a frame (row_idx, json) of the array's elements."""
+    import json
+
+    if not isinstance(result, Series):
+        return json.dumps(result)
+    cell = F.to_json(F.struct(F.col("value").alias("v")))
+    shown = F.expr("substr(_cell, 6, length(_cell) - 6)")  # of {"v":...}
+    ts = F.date_format(F.expr(f"timestampadd(SECOND, row_idx * {result.frequency_s}, {ntz(result.start)})"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return result.df.withColumn("_cell", cell).select("row_idx", F.concat(F.lit('["'), ts, F.lit('",'), shown, F.lit("]")).alias("json"))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import BLOCK_ROWS, TYPES, block_of, ntz
+from ..model import BLOCK_ROWS, TYPES, EngineError, block_of, ntz
 
 CHUNK = 1 << 16
 
@@ -20,8 +20,9 @@ def bucketed(df: DataFrame, ts: str, start: datetime, frequency_s: int) -> DataF
 
 
 def last_write_wins(df: DataFrame, ts: str, columns: list[str]) -> DataFrame:
-    """One row a slot, each column's latest value; combined before the shuffle."""
-    return df.groupBy("row_idx").agg(*[F.max_by(c, ts).alias(c) for c in columns])
+    """One row a slot, the latest one whole (of rows of one time the greatest by its columns); combined before the shuffle."""
+    row = F.struct(ts, *columns)
+    return df.groupBy("row_idx").agg(F.max(row).alias("_row")).select("row_idx", *[F.col(f"_row.`{c}`") for c in columns])
 
 
 def _previous(df: DataFrame, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -40,13 +41,13 @@ def _previous(df: DataFrame, chunk: int = CHUNK, carry: tuple[str, ...] = ()) ->
     return found.select(*df.columns, F.col("_p.row_idx").alias("prev"), *[F.col(f"_p.{c}").alias(f"prev_{c}") for c in carry])
 
 
-def filled(df: DataFrame, columns: dict[str, str], frequency_s: int, max_null_s: int | None = None) -> DataFrame:
+def filled(df: DataFrame, columns: dict[str, str], frequency_s: int, max_null_s: int | None = None, last: int = -1) -> DataFrame:
     """Missing slots take defaults, unless the gap (missing slots times frequency) is longer than ``max_null_s``.
 
-    The slots before the first row count as a gap too. Without a limit every slot from 0 on is filled. A long gap is
+    The slots before the first row, from the one after ``last`` on, count as a gap too. Without a limit every slot from 0 on is filled. A long gap is
     expanded piece by piece of ``BLOCK_ROWS`` slots, so that no row explodes without bound.
     """
-    prev = F.coalesce(F.col("prev"), F.lit(-1))
+    prev = F.coalesce(F.col("prev"), F.lit(last))
     row = F.col("row_idx")
     lo = prev + 1 if max_null_s is None else F.when((row - prev - 1) * frequency_s > max_null_s, row).otherwise(prev + 1)
     pieces = _previous(df).withColumn("_lo", lo).withColumn("_from", F.explode(F.expr(f"sequence(_lo, row_idx, {BLOCK_ROWS}L)")))
@@ -82,7 +83,7 @@ def series_frame(df: DataFrame, ts: str, columns: dict[str, str], start: datetim
 def upsert(base: DataFrame, update: DataFrame, columns: list[str]) -> DataFrame:
     """``base`` with the rows of ``update`` (the last of equal slots in (row_idx, seq) order, if it has seq) written over."""
     if "seq" in update.columns:
-        update = update.groupBy("row_idx").agg(*[F.max_by(c, "seq").alias(c) for c in columns])
+        update = last_write_wins(update, "seq", columns)
     u = update.select("row_idx", F.lit(True).alias("_new"), *[F.col(c).alias(f"_u_{c}") for c in columns])
     return base.join(u, "row_idx", "full").select("row_idx", *[F.when(F.col("_new"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
@@ -127,6 +128,20 @@ def fetch_rows(df: DataFrame, ranges: list[tuple[int, int]], columns: list[str])
     return df.where(cond).select("row_idx", *columns)
 
 
+def fetch_exact(df: DataFrame, ranges: list[tuple[int, int]], columns: list[str]) -> DataFrame:
+    """(request, row_idx, columns) of the half-open ranges in the order asked for; a column or slot that isn't there is an error."""
+    if lacking := [c for c in columns if c not in df.columns]:
+        raise EngineError(f"no columns {lacking}")
+    row = F.col("row_idx")
+    inside = [(row >= s) & (row < e) for s, e in ranges]
+    found = fetch_rows(df, ranges, [c for c in df.columns if c != "row_idx"])
+    counts = found.agg(*[F.count(F.when(x, 1)).alias(f"n{i}") for i, x in enumerate(inside)]).first() if ranges else []
+    if short := [r for r, n in zip(ranges, counts, strict=True) if n != max(0, r[1] - r[0])]:
+        raise EngineError(f"not all slots of {short[:3]} are there")
+    asked = F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(inside)])) if ranges else F.array().cast("array<int>")
+    return found.select(F.explode(asked).alias("request"), "row_idx", *columns).orderBy("request", "row_idx")
+
+
 def block_info(df: DataFrame) -> DataFrame:
     """First and last slot and row count of each block."""
     return with_blocks(df).groupBy("block_id").agg(F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"), F.count(F.lit(1)).alias("rows"))

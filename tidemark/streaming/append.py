@@ -13,14 +13,13 @@ from ..sources.catalog import Catalog
 
 
 def append_stream(catalog: Catalog, name: str, rows: DataFrame, checkpoint: str, ts: str = "ts") -> DataStreamWriter:
-    """Writes each micro-batch into a collection: slots, last write wins, fill, upsert.
+    """Writes each micro-batch into a collection: slots, last write wins, fill, upsert of the touched blocks.
 
-    A batch that runs again after a failure writes the same rows over themselves.
+    A batch that runs again after a failure writes the same rows over themselves. Rows for a closed null span are left out.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        if batch.limit(1).count():
-            catalog.append(name, batch, ts)
+        catalog.append(name, batch, ts)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -29,7 +28,7 @@ def tumbling_last(rows: DataFrame, ts: str, columns: list[str], start: datetime,
     """(row_idx, columns): each slot's last values, final once the watermark has passed the slot; late rows are dropped."""
     offset = int((start - datetime(1970, 1, 1)).total_seconds()) % frequency_s
     slot = F.window(ts, f"{frequency_s} seconds", startTime=f"{offset} seconds")
-    last = rows.withWatermark(ts, delay).groupBy(slot).agg(*[F.max_by(c, ts).alias(c) for c in columns])
+    last = rows.withWatermark(ts, delay).groupBy(slot).agg(*[F.max_by(c, F.struct(ts, *columns)).alias(c) for c in columns])
     idx = F.expr(f"timestampdiff(SECOND, {ntz(start)}, window.start)") / F.lit(frequency_s)
     return last.select(F.floor(idx).cast("bigint").alias("row_idx"), *columns)
 
