@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from .functions import scalars
 from .model import Collection, Series
 from .operators import intervals, maps, resample, windows
-from .plans.evaluate import Evaluator, query
+from .plans.evaluate import Evaluator, query, result_json
 from .sources.catalog import Catalog
-from .sources.ingest import block_info, bucketed, fetch_rows, json_cells, last_write_wins, series_frame, spans, upsert, with_blocks
+from .sources.ingest import block_info, bucketed, fetch_exact, fetch_rows, json_cells, last_write_wins, series_frame, spans, upsert, with_blocks
+from .sources.scratch import scratch_path
+from .streaming.append import append_stream, session_spans, tumbling_last
 
 START = datetime(2024, 1, 1)
 D = {"value": "double"}
@@ -63,9 +65,9 @@ def _slot(freq: int) -> str:
     return f"(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // {freq * 1_000_000}"
 
 
-def _series_sql(name: str, kind: str, freq: int = 60, limit: int | None = 600, value: str = "value", zero: str = "CAST(0 AS DOUBLE)") -> str:
+def _series_sql(name: str, kind: str, freq: int = 60, limit: int | None = 600, value: str = "value", zero: str = "CAST(0 AS DOUBLE)", more: str = "") -> str:
     lo = "prev + 1" if limit is None else f"CASE WHEN (row_idx - prev - 1) * {freq} > {limit} THEN row_idx ELSE prev + 1 END"
-    return f"""{name}_a AS (SELECT {_slot(freq)} AS row_idx, arg_max({value}, ts) AS value FROM events WHERE event_type = '{kind}' GROUP BY 1),
+    return f"""{name}_a AS (SELECT {_slot(freq)} AS row_idx, arg_max({value}, ts) AS value FROM events WHERE event_type = '{kind}'{more} GROUP BY 1),
 {name}_b AS (SELECT *, coalesce(lag(row_idx) OVER (ORDER BY row_idx), -1) AS prev FROM {name}_a),
 {name}_c AS (SELECT unnest(generate_series({lo}, row_idx)) AS slot, row_idx, value FROM {name}_b),
 {name} AS (SELECT CAST(slot AS BIGINT) AS row_idx, CASE WHEN slot = row_idx THEN value ELSE {zero} END AS value FROM {name}_c)"""
@@ -200,7 +202,7 @@ def lookup_with_left_bound(spark, sf):
     return intervals.lookup(points, spans(_of(spark, sf, "click").df).withColumn("value", F.col("end")))
 
 
-@_query(f"WITH {CLICK}, {VIEW}, a AS {_SPANS.format('click')}, b AS {_SPANS.format('vw')}, p AS (SELECT unnest(generate_series(s, e - 1)) AS r, 1 AS v FROM a WHERE e - s < 1000000), q AS (SELECT unnest(generate_series(s, e - 1)) AS r FROM b), m AS (SELECT coalesce(p.r, q.r) AS r, CASE WHEN q.r IS NULL THEN 1 ELSE 2 END AS v FROM p FULL JOIN q ON p.r = q.r), g AS (SELECT r, v, r - row_number() OVER (PARTITION BY v ORDER BY r) AS k FROM m) SELECT min(r) AS \"start\", max(r) + 1 AS \"end\", v AS value FROM g GROUP BY v, k")
+@_query(f"WITH {CLICK}, {VIEW}, a AS {_SPANS.format('click')}, b AS {_SPANS.format('vw')}, p AS (SELECT unnest(generate_series(s, e - 1)) AS r, 1 AS v FROM a), q AS (SELECT unnest(generate_series(s, e - 1)) AS r FROM b), m AS (SELECT coalesce(p.r, q.r) AS r, CASE WHEN q.r IS NULL THEN 1 ELSE 2 END AS v FROM p FULL JOIN q ON p.r = q.r), g AS (SELECT r, v, r - row_number() OVER (PARTITION BY v ORDER BY r) AS k FROM m) SELECT min(r) AS \"start\", max(r) + 1 AS \"end\", v AS value FROM g GROUP BY v, k")
 def interval_insert(spark, sf):
     side = lambda k, v: spans(_of(spark, sf, k).df).withColumn("value", F.lit(v))
     return intervals.insert(side("click", 1), side("view", 2))
@@ -321,6 +323,218 @@ def json_rows(spark, sf):
     return json_cells(made, "body", {"user_id": "int", "value": "int", "kind": "string"}).select("event_id", "user_id", "value", "kind")
 
 
+# --- the language's further parts
+def _stored(spark, sf) -> Catalog:
+    """Collections Click and View with the column v and no filled slot."""
+    out = Catalog(spark)
+    for name, kind in (("Click", "click"), ("View", "view")):
+        out.register(name, _of(spark, sf, kind, 60, 0).df.withColumnRenamed("value", "v"), {"v": "double"}, START, 60, 0)
+    return out
+
+
+_PAIR = f"{_series_sql('click', 'click', 60, 0)}, {_series_sql('vw', 'view', 60, 0)}, pair AS (SELECT row_idx, click.value AS a, vw.value AS b FROM click JOIN vw USING (row_idx))"
+_RATIO = "CASE WHEN b = 0 THEN CASE WHEN a > 0 THEN CAST('Infinity' AS DOUBLE) WHEN a < 0 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST('NaN' AS DOUBLE) END ELSE a / b END"
+
+
+@_query(f"WITH {_PAIR} SELECT CAST(row_idx // 6 AS BIGINT) AS row_idx, round(avg(a / b), 6) AS value FROM pair GROUP BY 1")
+def lang_ratio_sampled(spark, sf):
+    return _rounded(query("sample @6m (#Click:v / #View:v)", _stored(spark, sf)))
+
+
+@_query(f"WITH {_PAIR}, six AS (SELECT CAST(row_idx // 6 AS BIGINT) AS row_idx, avg(a / b) AS value FROM pair GROUP BY 1) SELECT row_idx, round(value, 6) AS value FROM six WHERE row_idx >= (SELECT max(row_idx) FROM six) - 240")
+def lang_ratio_taken(spark, sf):
+    return _rounded(query("take (@-1d) (sample @6m (#Click:v / #View:v))", _stored(spark, sf)))
+
+
+@_query(f"WITH {CLICK}, {VIEW}, pair AS (SELECT row_idx, click.value AS a, vw.value AS b FROM click JOIN vw USING (row_idx)) SELECT row_idx, {_RATIO} AS value FROM pair")
+def map_quotient(spark, sf):
+    return query("#Click:v / #View:v", _catalog(spark, sf)).df
+
+
+@_query(f"WITH {CLICK}, {VIEW} SELECT row_idx, click.value - vw.value AS value FROM click JOIN vw USING (row_idx)")
+def map_difference(spark, sf):
+    return query("#Click:v - #View:v", _catalog(spark, sf)).df
+
+
+@_query(f"WITH {_series_sql('click', 'click', 3600, None, 'user_id', '0')}, {_series_sql('vw', 'view', 3600, None, 'user_id + 7', '7')} SELECT row_idx, CAST(floor(click.value / CAST(-vw.value AS DOUBLE)) AS BIGINT) AS value FROM click JOIN vw USING (row_idx)")
+def map_quotient_int(spark, sf):
+    below = maps.scale(maps.add_constant(_ints(spark, sf, "view", 3600, None), 7), -1)
+    return maps.map_quotient(_ints(spark, sf, "click", 3600, None), below).df
+
+
+@_query(f"WITH {CLICK}, {_HOURS}, f AS ({_LERP}) SELECT round(corr(click.value, f.value), 6) AS correlation FROM click JOIN f ON click.row_idx = f.row_idx")
+def lang_align_correlation(spark, sf):
+    c = _catalog(spark, sf)
+    c.register("Hours", _of(spark, sf, "view", 3600, None).df.withColumnRenamed("value", "v"), {"v": "double"}, START, 3600)
+    program = """
+let correlated ts1 ts2 =
+       let (aligned1, aligned2) = align Average Lerp Discard ts1 ts2
+       in correlation aligned1 aligned2
+in correlated #Click:v #Hours:v"""
+    return _scalar(spark, correlation=round(query(program, c), 6))
+
+
+@_query(_window_sql("round(sum(value) @, 6)", 5))
+def lang_window_sum(spark, sf):
+    return _rounded(query("windowSum I5 (#Click:v)", _catalog(spark, sf)))
+
+
+@_query(_window_sql("round(product(value) @, 4)", 3))
+def lang_window_product(spark, sf):
+    return query("windowProduct I3 (#Click:v)", _catalog(spark, sf)).df.withColumn("value", F.round("value", 4))
+
+
+@_query(f"WITH {CLICK} SELECT row_idx, value FROM (SELECT row_idx, round(0.75 * value - 0.5 * lead(value, 1) OVER (ORDER BY row_idx), 6) AS value FROM click) WHERE value IS NOT NULL")
+def lang_convolve(spark, sf):
+    return _rounded(query("convolve (Cons 0.75 (Cons (0.0 - 0.5) Null)) (#Click:v)", _catalog(spark, sf)))
+
+
+@_query(f"WITH {CLICK} SELECT row_idx, value * 2 + 1 AS value FROM click")
+def lang_scale_shift(spark, sf):
+    return query("shiftTS 1.0 (scaleTS 2.0 (#Click:v))", _catalog(spark, sf)).df
+
+
+@_query(f"WITH {CLICK} SELECT row_idx, value FROM click WHERE value = 0")
+def lang_filter(spark, sf):
+    return query(r"filterTS (\x -> x == 0.0) (#Click:v)", _catalog(spark, sf)).df
+
+
+@_query(f"WITH {CLICK}, {VIEW} SELECT row_idx, CASE WHEN click.value = 0 THEN vw.value ELSE click.value - vw.value END AS value FROM click JOIN vw USING (row_idx)")
+def lang_lazy_if(spark, sf):
+    """No row has the value -1, so none takes the branch with the error."""
+    program = r"mapTS (\x y -> if (x == 0.0) y (if (x == 0.0 - 1.0) (error 'below zero') (x - y))) (#Click:v) (#View:v)"
+    return query(program, _catalog(spark, sf)).df
+
+
+@_query("SELECT CAST(7 AS BIGINT) AS total, 'ab' AS text, CAST(24 AS BIGINT) AS product")
+def lang_tuples(spark, sf):
+    programs = ["let (a, b) = (I3, I4) in a + b", "let f (x, (y, z)) = x + z in f ('a', (I1, 'b'))", "let a = I2; b = a * I3; c = b * I4 / a in c * a"]
+    return spark.createDataFrame([tuple(query(p) for p in programs)], "total bigint, text string, product bigint")
+
+
+@_query(f"""WITH {_series_sql('click', 'click', 3600, None, 'user_id', '0')} SELECT row_idx, '["' || strftime(TIMESTAMP '2024-01-01' + to_seconds(row_idx * 3600), '%Y-%m-%d %H:%M:%S.%f') || '",' || value || ']' AS json FROM click""")
+def result_json_rows(spark, sf):
+    return result_json(_ints(spark, sf, "click", 3600, None))
+
+
+@_query(f"WITH {_series_sql('click', 'click', 3600, None)} SELECT CAST(0 AS INTEGER) AS request, row_idx, value FROM click WHERE row_idx BETWEEN 300 AND 399 UNION ALL SELECT 1, row_idx, value FROM click WHERE row_idx BETWEEN 20 AND 29 UNION ALL SELECT 2, row_idx, value FROM click WHERE row_idx BETWEEN 25 AND 34")
+def fetch_in_order(spark, sf):
+    return fetch_exact(_of(spark, sf, "click", 3600, None).df, [(300, 400), (20, 30), (25, 35)], ["value"])
+
+
+# --- interval maps
+@_query(f"WITH {CLICK}, a AS {_SPANS.format('click')} SELECT s AS \"start\", e AS \"end\" FROM a")
+def interval_keys(spark, sf):
+    return intervals.keys(spans(_of(spark, sf, "click").df).withColumn("value", F.lit(1)))
+
+
+@_query(f"WITH {CLICK}, a AS {_SPANS.format('click')} SELECT e - s AS value FROM a")
+def interval_elems(spark, sf):
+    return intervals.elems(spans(_of(spark, sf, "click").df).withColumn("value", F.col("end") - F.col("start")))
+
+
+@_query("SELECT false AS mapped_empty, true AS deleted_empty")
+def interval_null(spark, sf):
+    one = spans(_of(spark, sf, "click").df).withColumn("value", F.lit(1))
+    gone = intervals.delete(one, one.agg(F.min("start").alias("start"), F.max("end").alias("end")))
+    return intervals.is_empty(one).select(F.col("empty").alias("mapped_empty")).join(intervals.is_empty(gone).select(F.col("empty").alias("deleted_empty")))
+
+
+# --- the append path and the catalog
+def _collection(spark, freq: int, limit: int | None, **columns: str) -> Catalog:
+    """A catalog in a folder of its own with the collection T."""
+    out = Catalog(spark, scratch_path(spark, "catalog"))
+    out.create("T", freq, limit, START)
+    for name, dtype in (columns or {"value": "double"}).items():
+        out.add_column("T", name, dtype)
+    return out
+
+
+def _clicks(spark, sf, where: str = "true") -> DataFrame:
+    return _events(spark, sf).where(F.col("event_type") == "click").where(where).select("ts", "value")
+
+
+@_query(f"WITH {CLICK} SELECT row_idx, value FROM click")
+def append_batches(spark, sf):
+    c = _collection(spark, 60, 600)
+    edges = ["2024-01-01", "2024-01-08", "2024-01-08 12:00:00", "2024-01-20", "2100-01-01"]
+    for a, b in zip(edges, edges[1:]):
+        c.append("T", _clicks(spark, sf, f"ts >= timestamp_ntz'{a}' AND ts < timestamp_ntz'{b}'"))
+    return Catalog(spark, c.root).frame("T")
+
+
+@_query(f"WITH {_series_sql('f', 'click', more=' AND user_id % 2 = 0')}, late AS (SELECT {_slot(60)} AS row_idx, arg_max(value, ts) AS value FROM events WHERE event_type = 'click' AND user_id % 2 = 1 AND ts < TIMESTAMP '2024-01-20' GROUP BY 1), n AS (SELECT count(*) AS refused FROM late WHERE row_idx NOT IN (SELECT row_idx FROM f)) SELECT f.row_idx, coalesce(late.value, f.value) AS value, refused FROM f LEFT JOIN late USING (row_idx), n")
+def late_write_refused(spark, sf):
+    c = _collection(spark, 60, 600)
+    rows = _events(spark, sf).where(F.col("event_type") == "click")
+    c.append("T", rows.where("user_id % 2 = 0").select("ts", "value"))
+    told = c.append("T", rows.where("user_id % 2 = 1 AND ts < timestamp_ntz'2024-01-20'").select("ts", "value"))
+    return c.frame("T").withColumn("refused", F.lit(told["refused"]).cast("bigint"))
+
+
+_TENS = _series_sql("click", "click", 10, None)
+
+
+@_query(f"WITH {_TENS} SELECT row_idx, value FROM click WHERE row_idx // 65536 NOT IN (1, (SELECT max(row_idx) // 65536 FROM click))")
+def delete_block(spark, sf):
+    c = _collection(spark, 10, None)
+    c.append("T", _clicks(spark, sf))
+    c.delete_block("T", 1)
+    c.delete_block("T", (c.describe("T")["length"] - 1) // 65536)
+    return Catalog(spark, c.root).frame("T")
+
+
+@_query(f"WITH {_series_sql('click', 'click', 3600, None)} SELECT row_idx, value FROM click UNION ALL SELECT 131072 + i, CAST(0 AS DOUBLE) FROM (SELECT unnest(generate_series(5, 99)) AS i)")
+def new_block(spark, sf):
+    c = _collection(spark, 3600, None)
+    c.append("T", _clicks(spark, sf))
+    c.new_block("T", 2, 131077, 131172)
+    return c.frame("T")
+
+
+@_query(f"WITH {_series_sql('click', 'click', 3600, None)} SELECT row_idx, CASE WHEN row_idx % 50 = 3 THEN -1 ELSE value END AS value, CAST(0 AS BIGINT) AS extra FROM click")
+def update_stored_rows(spark, sf):
+    c = _collection(spark, 3600, None, value="double", gone="string")
+    c.append("T", _clicks(spark, sf).withColumn("gone", F.lit("x")))
+    c.drop_column("T", "gone")
+    c.add_column("T", "extra", "int")
+    there = c.frame("T").where("row_idx % 50 = 3")
+    c.update_rows("T", there.select("row_idx", F.lit(-1.0).alias("value"), "extra"))
+    return c.frame("T")
+
+
+@_query("SELECT * FROM (VALUES ('T', 'value', CAST(2 AS BIGINT), 'double', CAST(60 AS BIGINT)), ('T', 'again', 4, 'int', 60)) AS t(collection, name, column_id, type, frequency)")
+def catalog_columns(spark, sf):
+    c = _collection(spark, 60, 600, value="double", note="string")
+    c.drop_column("T", "note")
+    c.add_column("T", "again", "int")
+    c.create("T", 5)
+    d = Catalog(spark, c.root).describe("T")
+    return spark.createDataFrame([("T", x["name"], x["columnId"], x["type"], d["dataFrequency"]) for x in d["columns"]], "collection string, name string, column_id bigint, type string, frequency bigint")
+
+
+@_query(f"WITH {_series_sql('click', 'click', 3600, None)} SELECT row_idx, value FROM click")
+def stream_append(spark, sf):
+    """Micro-batches of a file each, whatever their order: no slot is in two files."""
+    files, c = scratch_path(spark, "stream"), _collection(spark, 3600, None)
+    rows = bucketed(_clicks(spark, sf), "ts", START, 3600)
+    rows.repartitionByRange(3, "row_idx").select("ts", "value").write.parquet(files)
+    arriving = spark.readStream.schema("ts timestamp_ntz, value double").option("maxFilesPerTrigger", 1).parquet(files)
+    append_stream(c, "T", arriving, scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return c.frame("T")
+
+
+@_query(f"SELECT {_slot(3600)} AS row_idx, arg_max(value, ts) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
+def tumbling_last_values(spark, sf):
+    return tumbling_last(_clicks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["value"], START, 3600)
+
+
+@_query("WITH m AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 600 SECONDS THEN 0 ELSE 1 END AS new FROM events WHERE event_type = 'click'), g AS (SELECT ts, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT min(ts) AS first, max(ts) AS last, count(*) AS rows FROM g GROUP BY k")
+def session_spans_of_clicks(spark, sf):
+    out = session_spans(_clicks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", 600)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("first"), F.expr("timestampadd(SECOND, -600, end)").cast("timestamp_ntz").alias("last"), "rows")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
