@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from .common import as_bytes, col, with_columns
 from .compression import Settings, train
 
-QUALITY = Settings(window=160, dictionary_bytes=12288, min_match=4, lower=False, runs=4, cost_one=2.0)
-TOXICITY = Settings(window=44, dictionary_bytes=1000, min_match=7, codes=True, min_gain=4.0, chance=0.01, folds=8, cost_zero=4.0)
+QUALITY = Settings(window=160, dictionary_bytes=12288, min_match=4, lower=False, runs=4, whole=True, cost_one=2.0)
+TOXICITY = Settings(window=44, dictionary_bytes=1000, min_match=7, codes=True, min_gain=4.0, chance=0.01, rate_z=6.0, folds=8, cost_zero=8.0)
 #: What is learned from: quality needs fewer texts and is dearer to learn.
 LEARN = {"quality": {"per_class": 500, "common": 3}, "toxic": {"per_class": 1200, "common": 4}}
 

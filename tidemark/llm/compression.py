@@ -1,12 +1,17 @@
-"""Classification by compressed size: two zstandard dictionaries, windows compressed with each, calibrated scores.
+"""Classification by compressed size: zstandard dictionaries of both classes, windows compressed with each, scores.
 
 A dictionary holds the segments of a class's texts that set it apart from the other class: word beginnings, whole words
 and short character runs, kept by how much more often documents of the class have them. (Dictionaries of the library's
 own trainer hold what is frequent in both classes; on the test tables they reached an area under the curve of 0.81 for
-toxicity.) Windows are compressed with literals left as they are, so a size tells how much of a window the dictionary
-covers. Features of a text are the normalised differences of both sizes, over its windows and as a whole, and how well it
-compresses by itself; a logistic regression, fitted on labelled texts that the dictionaries haven't seen, turns them into
-a score.
+toxicity.) With ``rate_z`` there is a second pair of dictionaries: the first holds what documents of label 1 have and others
+don't, the second what they have more of for their length, which any long document may hold by chance. Windows are
+compressed with literals left as they are, so a size tells how much of a window a dictionary covers.
+
+Features of a text are the differences of both sizes over its windows: the largest and least, their share, their sum,
+normalised by the text's length and by its own compressed size (and, for ``whole``, so is the difference of the whole text's
+sizes). No feature is a length or a size alone. A logistic regression, fitted on labelled texts that the dictionaries
+haven't seen, turns them into a score, moved so that 0.5 is where the weighted rates of both classes' errors are least
+together: a score orders texts and 0.5 decides, but it isn't a probability.
 """
 
 from __future__ import annotations
@@ -33,6 +38,9 @@ class Settings:
     least_docs: int = 3
     min_gain: float = 2.0
     chance: float = 0.0  # of one wrong segment of label 1 in all, families counted once; 0: each segment by its own z
+    rate_z: float = 0.0  # second pair: least z of the difference of rates; 0: no second pair
+    rate_bytes: int = 1500
+    whole: bool = False  # whether the difference of the whole text's sizes is a feature
     folds: int = 2  # of the calibration
     cost_one: float = 1.0  # of a missed label 1, against a missed label 0
     cost_zero: float = 1.0
@@ -74,22 +82,38 @@ def overlapping(text: bytes, size: int, shared: int) -> list[bytes]:
     return [text[at : at + size] for at in range(0, max(1, len(text) - shared), size - shared)]
 
 
-def _segments(text: bytes, runs: int) -> set[bytes]:
-    words = set(_WORD.findall(text))
-    found = {b" " + w for w in words if len(w) > 3} | {b" " + w[:n] for w in words for n in (4, 5, 7) if len(w) > n}
+_BEGINNINGS = (4, 5, 6, 7)
+
+
+def _tallies(text: bytes, runs: int) -> dict[bytes, int]:
+    """How often each segment stands in the text; runs of characters as often as they begin."""
+    out: Counter[bytes] = Counter()
+    for w, n in Counter(_WORD.findall(text)).items():
+        if len(w) > 3:
+            out[b" " + w] += n
+        for k in _BEGINNINGS:
+            if len(w) > k:
+                out[b" " + w[:k]] += n
     if runs:
-        found |= {text[i : i + runs] for i in range(len(text) - runs + 1)}
-    return found
+        out.update(text[i : i + runs] for i in range(len(text) - runs + 1))
+    return out
 
 
 class Families:
-    """Texts as sets of segment numbers, and for each its family: texts that share half of their segments, and those that share it with them."""
+    """Texts as sets of segment numbers with tallies, and for each its family: texts that share half of their segments, and
+    those that share it with them."""
 
     BANDS, ROWS = 20, 3
 
     def __init__(self, texts: list[bytes], runs: int):
         number: dict[bytes, int] = {}
-        self.sets = [np.fromiter(sorted(number.setdefault(k, len(number)) for k in _segments(t, runs)), dtype=np.int32) for t in texts]
+        self.sets, self.shares = [], []  # of each text its segments, and how often it has each for its length in words
+        for t in texts:
+            tally = _tallies(t, runs)
+            own = np.fromiter((number.setdefault(k, len(number)) for k in tally), dtype=np.int32, count=len(tally))
+            order = np.argsort(own)
+            self.sets.append(own[order])
+            self.shares.append((np.fromiter(tally.values(), dtype=np.float64, count=len(tally)) / (len(t.split()) + 30))[order])
         self.names = list(number)
         hashes = np.fromiter(map(zlib.crc32, self.names), dtype=np.uint64, count=len(self.names))
         factors = np.random.default_rng(11).integers(1, 2**63, self.BANDS * self.ROWS, dtype=np.uint64) | np.uint64(1)
@@ -129,6 +153,19 @@ class Families:
         return len(groups), out
 
 
+    def rates(self, rows: list[int]) -> tuple[int, np.ndarray, np.ndarray]:
+        """(number of families of the rows, for each segment the mean and variance of its share in a family's first text)."""
+        first: dict[int, int] = {}
+        for i in rows:
+            first.setdefault(self.family[i], i)
+        total, square = np.zeros(len(self.names)), np.zeros(len(self.names))
+        for i in first.values():
+            total[self.sets[i]] += self.shares[i]
+            square[self.sets[i]] += self.shares[i] ** 2
+        n = max(1, len(first))
+        return n, total / n, np.maximum(0.0, square / n - (total / n) ** 2)
+
+
 def _evidence(c: np.ndarray, n: int, d: np.ndarray, m: int) -> np.ndarray:
     """Minus the logarithm of the likelihood that one share explains c of n and d of m, against a share for each."""
 
@@ -149,6 +186,14 @@ def telling(texts: Families, ones: list[int], zeros: list[int], s: Settings) ->
     return _content([(float(v), texts.names[k]) for v, k in zip(found[fit], at[fit], strict=True)], here, s)
 
 
+def frequent(texts: Families, ones: list[int], zeros: list[int], s: Settings) -> bytes:
+    """Dictionary content of the segments that texts of ``ones`` have more often for their length."""
+    (n, m1, v1), (m, m0, v0), (_, c) = texts.rates(ones), texts.rates(zeros), texts.counts(ones)
+    z = (m1 - m0) / np.sqrt(v1 / n + v0 / m + 1e-12)
+    at = np.flatnonzero((c >= s.least_docs) & (z > s.rate_z) & (m1 > s.min_gain * (m0 + 1e-5)))
+    return _content([(float(z[k]), texts.names[k]) for k in at], {texts.names[k]: int(c[k]) for k in at}, replace(s, dictionary_bytes=s.rate_bytes))
+
+
 def ordinary(texts: Families, zeros: list[int], ones: list[int], s: Settings, size: int) -> bytes:
     """Dictionary content: the commonest segments of ``zeros`` that aren't commoner in ``ones``, ``size`` bytes at most.
 
@@ -165,10 +210,10 @@ def contrast(texts: list[bytes], others: list[bytes], s: Settings) -> bytes:
     """Dictionary content: segments of ``texts``, those that set them apart most last (nearest to what is compressed)."""
     here, there = Counter(), Counter()
     for t in texts:
-        here.update(_segments(t, s.runs))
+        here.update(_tallies(t, s.runs).keys())
     here = Counter({k: c for k, c in here.items() if c >= s.least_docs})
     for t in others:
-        there.update(here.keys() & _segments(t, s.runs))
+        there.update(here.keys() & _tallies(t, s.runs).keys())
     n, m = max(1, len(texts)), max(1, len(others))
     ranked = []
     for k, c in here.items():
@@ -215,13 +260,23 @@ class Sizes:
         return len(self._compress(text + self._carrier))
 
 
+def differences(text: bytes, parts: list[bytes], pos: Sizes, neg: Sizes, alone: int) -> list[float]:
+    """What the differences of the windows' sizes under a pair of dictionaries say of a text; ``alone`` is its own size."""
+    gains = sorted(((neg(w) - pos(w)) for w in parts), reverse=True)
+    n, total = len(text), sum(gains)
+    return [gains[0], sum(gains[:3]) / 3, 100.0 * total / n, 100.0 * sum(g for g in gains if g >= 3) / n, sum(g >= 3 for g in gains) / len(gains), float(np.log1p(max(0, total))), float(gains[-1]), 100.0 * total / alone]
+
+
 class Model:
-    def __init__(self, s: Settings, positive: bytes, negative: bytes):
+    """contents: the dictionaries of label 1 and 0, and those of the second pair, if there is one."""
+
+    def __init__(self, s: Settings, *contents: bytes):
         import zstandard as z
 
-        self.s, self.contents = s, (positive, negative)
+        self.s, self.contents = s, contents
         carrier = _CARRIER if s.codes else b""
-        self.pos, self.neg = Sizes(positive, s.min_match, s.level, carrier), Sizes(negative, s.min_match, s.level, carrier)
+        sizes = [Sizes(c, s.min_match, s.level, carrier) for c in contents]
+        self.pairs = list(zip(sizes[::2], sizes[1::2], strict=True))
         self.alone = z.ZstdCompressor(level=1, write_content_size=False).compress
         self.weights: np.ndarray | None = None
         self.center = self.scale = None
@@ -229,16 +284,22 @@ class Model:
     def __reduce__(self):
         return _revive, (self.s, self.contents, self.weights, self.center, self.scale)
 
+    @property
+    def width(self) -> int:
+        return 8 * len(self.pairs) + int(self.s.whole)
+
     def features(self, text: bytes) -> list[float]:
         """0.0 throughout for an empty text."""
         text = text.lower() if self.s.lower else text
-        parts = overlapping(encoded(b" " + text), 3 * self.s.window, 36) if self.s.codes and text else windows(text, self.s.window)
-        if not parts:
-            return [0.0] * 9
-        pos, neg = self.pos, self.neg
-        gains = sorted(((neg(w) - pos(w)) for w in parts), reverse=True)
-        n, total = len(text), sum(gains)
-        return [gains[0], sum(gains[:3]) / 3, 100.0 * total / n, 100.0 * sum(g for g in gains if g >= 3) / n, sum(g >= 3 for g in gains) / len(gains), float(np.log1p(max(0, total))), float(gains[-1]), len(self.alone(text)) / (n + 20), float(np.log(n + 1))]
+        if not text:
+            return [0.0] * self.width
+        parts = overlapping(encoded(b" " + text), 3 * self.s.window, 36) if self.s.codes else windows(text, self.s.window)
+        alone = len(self.alone(text)) + 20
+        out = [x for pos, neg in self.pairs for x in differences(text, parts, pos, neg, alone)]
+        if self.s.whole:
+            pos, neg = self.pairs[0]
+            out.append(100.0 * (neg(text) - pos(text)) / alone)
+        return out
 
     def fit(self, raw: np.ndarray, labels: list[int], rounds: int = 30) -> None:
         """Logistic regression with a little ridge, on standardised features and their squares."""
@@ -286,16 +347,17 @@ def train(texts: list[bytes], labels: list[int], s: Settings) -> Model:
     families, folds = Families(read, s.runs) if s.chance else None, s.folds
 
     def model(rows: list[int]) -> Model:
-        if families:
-            own, others = [i for i in rows if labels[i]], [i for i in rows if not labels[i]]
-            positive = telling(families, own, others, s)
-            return Model(s, positive, ordinary(families, others, own, s, len(positive) // (3 if s.codes else 1)))
-        ones, zeros = [read[i] for i in rows if labels[i]], [read[i] for i in rows if not labels[i]]
-        return Model(s, contrast(ones, zeros, s), contrast(zeros, ones, s))
-
-    raw = np.zeros((len(texts), 9))
+        own, others = [i for i in rows if labels[i]], [i for i in rows if not labels[i]]
+        if not families:
+            ones, zeros = [read[i] for i in own], [read[i] for i in others]
+            return Model(s, contrast(ones, zeros, s), contrast(zeros, ones, s))
+        contents = [telling(families, own, others, s)] + ([frequent(families, own, others, s)] if s.rate_z else [])
+        return Model(s, *(x for c in contents for x in (c, ordinary(families, others, own, s, len(c) // (3 if s.codes else 1)))))
+
+    raw: np.ndarray | None = None
     for f in range(folds):
         part = model([i for i in range(len(texts)) if i % folds != f])
+        raw = np.zeros((len(texts), part.width)) if raw is None else raw
         for i in range(f, len(texts), folds):
             raw[i] = part.features(texts[i])
     out = model(list(range(len(texts))))
