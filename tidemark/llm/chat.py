@@ -5,6 +5,9 @@ each input turn the automaton's states (nothing yet, or the role of the last tur
 it; merge it into the last turn; put an empty turn before it, and keep or relabel it. Dynamic programming takes the
 cheapest sequence; ties go to the option listed first. The repaired turns are rendered with role tags.
 
+A text's own "<|" is written "<\\|" (and "<\\|" as "<\\\\|", and so on), so that no text can end its turn or begin another;
+``unescaped`` takes that back.
+
 A conversation is processed in chunks of ``CHUNK`` turn numbers, so that the longest one is spread over tasks. Pass 1
 reduces a chunk to a 4 x 4 matrix of least costs between states; pass 2 combines the matrices of a conversation, a row a
 chunk; pass 3 repairs each chunk between the states so settled. A turn that merges over a chunk's edge still renders
@@ -14,19 +17,27 @@ Output: a row a piece (an input turn or an empty one put in): conv_id, seq (numb
 turn (null for empty ones), role, action, rendered. Pieces ordered by (seq, turn) and joined are the rendered text; an
 empty turn is its own seq.
 
-Defined cases: null texts are empty; null and unknown roles cost a relabelling; null turns come last; turns of one
-number follow by role and text, and repeated rows each stay; null conversation ids are one conversation; an empty table
-gives no rows; other columns are ignored.
+Defined cases: null texts are empty, a very long text is one piece; null and unknown roles cost a relabelling; turns of one
+number follow by role and text, and repeated rows each stay; null turns come last, in ``NULL_CHUNKS`` chunks by a hash of role
+and text (rows that agree in conversation, turn number, role and text are one task's); null conversation ids are one
+conversation; an empty table gives no rows; other columns, whatever their names, are ignored. Between repairs of one cost
+the chunks' edges have a say, so another ``CHUNK`` may give another of the cheapest ones.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, written
 
-CHUNK = 1024
+CHUNK = 1024  # a power of two
+NULL_CHUNKS = 256
+#: The first of the chunks of null turns; no turn number's chunk is as large.
+_LATE = 1 << 60
 ROLES = ("", "system", "user", "assistant")
 #: Fixed names that other corpora give the roles.
 ALIASES = {"system": 1, "developer": 1, "user": 2, "human": 2, "prompter": 2, "assistant": 3, "bot": 3, "gpt": 3, "model": 3}
@@ -61,6 +72,17 @@ _PLAIN = [[[None if x is None else x[:2] for x in row] for row in m] for m in ST
 ENDINGS = {0: ((), 0), 1: ((2, 3), 2 * END_INSERT), 2: ((3,), END_INSERT), 3: ((), 0)}
 
 
+_TAG, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+
+
+def escaped(text: str) -> str:
+    return _TAG.sub(r"<\\\1|", text) if "|" in text else text
+
+
+def unescaped(text: str) -> str:
+    return _ESCAPED.sub(r"<\1|", text)
+
+
 def role_number(role: str | None) -> int:
     return ALIASES.get((role or "").strip().lower(), 0)
 
@@ -109,7 +131,7 @@ def repair(turns: list[tuple], entry: int = 0, ending: int | None = None, base:
         _, _, action, empty = STEPS[r][s][e]
         if empty:
             put(None, empty, "insert", "", True)
-        put(turn, e, action, text or "", action != "merge")
+        put(turn, e, action, escaped(text or ""), action != "merge")
         state = e
     if last:
         for x in ENDINGS[state][0]:
@@ -154,37 +176,46 @@ def _reduced(batches):
 
 
 def _combined(batches):
-    """For each conversation the states at its chunks' edges and how many turns were put out before each chunk."""
-    rows, held, key = [], [], ()
+    """For each conversation the states at its chunks' edges and how many turns were put out before each chunk.
+
+    Of a chunk only the states that it comes from and its 16 counts of turns are held, some 150 bytes.
+    """
+    rows, key = [], None
+
+    def fresh():
+        return [0, _FAR, _FAR, _FAR], array("q"), bytearray(), array("q")
+
+    costs, chunks, back, outs = fresh()
 
     def close():
-        costs, back = [0, _FAR, _FAR, _FAR], []
-        for _, m, _ in held:
-            steps = [min(((costs[s] + m[4 * s + e], s) for s in range(4))) for e in range(4)]
-            back.append([s for _, s in steps])
-            costs = [min(c, _FAR) for c, _ in steps]
         at = min(range(4), key=lambda e: (costs[e] + ENDINGS[e][1], e))
-        edges = [at]
-        for came in reversed(back):
-            edges.append(came[edges[-1]])
+        edges = bytearray([at])
+        for k in range(len(chunks) - 1, -1, -1):
+            at = back[4 * k + at]
+            edges.append(at)
         edges.reverse()
         base = 0
-        for i, (chunk, _, outs) in enumerate(held):
-            rows.append((key[0], chunk, edges[i], edges[i + 1], base, i == len(held) - 1))
-            base += outs[4 * edges[i] + edges[i + 1]]
+        for k, chunk in enumerate(chunks):
+            yield (key[0], chunk, edges[k], edges[k + 1], base, k == len(chunks) - 1)
+            base += outs[16 * k + 4 * edges[k] + edges[k + 1]]
 
     for batch in batches:
-        for conv, chunk, m, outs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for conv, chunk, m, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != (conv,):
-                if held:
-                    close()
-                held, key = [], (conv,)
-            held.append((chunk, m, outs))
-        if len(rows) > 1000:
-            yield _as_batch(rows, _EDGES)
-            rows = []
-    if held:
-        close()
+                if key is not None:
+                    for row in close():
+                        rows.append(row)
+                        if len(rows) == 1000:
+                            yield _as_batch(rows, _EDGES)
+                            rows = []
+                key, (costs, chunks, back, outs) = (conv,), fresh()
+            steps = [min((costs[s] + m[4 * s + e], s) for s in range(4)) for e in range(4)]
+            costs = [min(c, _FAR) for c, _ in steps]
+            back.extend(s for _, s in steps)
+            chunks.append(chunk)
+            outs.extend(n)
+    if key is not None:
+        rows += close()
     if rows:
         yield _as_batch(rows, _EDGES)
 
@@ -220,8 +251,8 @@ def _ddl(schema) -> str:
 
 def format_chats(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The pieces of the repaired, rendered conversations of ``df``."""
-    last = (1 << 62) // CHUNK
-    rows = df.select(col(conv_col).cast("long").alias("conv"), F.coalesce(F.floor(col(turn_col).cast("long") / CHUNK), F.lit(last)).cast("long").alias("chunk"), col(turn_col).cast("long").alias("turn"), col(role_col).alias("role"), col(text_col).alias("text"))
+    late = F.lit(_LATE) + F.pmod(F.xxhash64(col(role_col), col(text_col)), F.lit(NULL_CHUNKS))
+    rows = df.select(col(conv_col).cast("long").alias("conv"), F.coalesce(F.shiftright(col(turn_col).cast("long"), CHUNK.bit_length() - 1), late).cast("long").alias("chunk"), col(turn_col).cast("long").alias("turn"), col(role_col).alias("role"), col(text_col).alias("text"))
     order = ["conv", "chunk", F.col("turn").asc_nulls_last(), "role", "text"]
     dealt = rows.repartition("conv", "chunk").sortWithinPartitions(*order)
     matrices = written(dealt.mapInArrow(_reduced, _ddl(_MATRIX)), "chat-chunks")
