@@ -1,37 +1,13 @@
-"""Helpers shared by the training-data operators: scratch tables, byte-level word scanning and hashing."""
+"""Helpers shared by the training-data operators: columns by exact name, byte-level word scanning and hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a fresh local one where that is unset."""
-    sc = spark.sparkContext
-    conf = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it again."""
-    path = scratch_path(df.sparkSession, name)
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.scratch import scratch_path, written  # noqa: F401
 
 
 def quoted(name: str) -> str:
