@@ -1,8 +1,11 @@
 """The training-data pipeline: toxicity, quality, near duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns
-of ``documents``. Rows with a null id can't be grouped and stay; of rows that repeat an id, one stays after the near
-duplicates. An empty table gives no rows.
+of ``documents``, others that the table has included, whatever their names.
+
+Defined cases: rows with a null id can't be grouped, so near duplicates leave them; rows that share an id but not a text are
+documents of their own; of rows that agree in both, one stays; null and empty texts are judged like any text and never
+duplicates; very long texts are judged whole; scores just at ``REJECT`` are toxic, and good; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,11 +16,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.classify import LEARN, QUALITY, TOXICITY, held_out, learn, scored
 from tidemark.llm.common import free_name, written
 from tidemark.llm.decontaminate import leaks
-from tidemark.llm.near_dup import BROADCAST_IDS, near_duplicates
+from tidemark.llm.near_dup import one_of_each
 from tidemark.llm.packing import pack
 from tidemark.llm.tokens import tokenizer_path
+from tidemark.sources.scratch import mark, release
 
 REJECT = 0.5
+#: Near duplicates share this percentage of their five-word shingles, or more.
+SIMILAR = 80
 
 
 def _labels(spark: SparkSession, sf_dir: str, modulus: int, remainder: int) -> DataFrame:
@@ -40,13 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
-    groups = written(near_duplicates(docs).select("doc_id", "kept"), "groups").where("doc_id IS NOT NULL")
-    removed = groups.where("NOT kept").select("doc_id").distinct()
-    small = removed.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(removed) if small else removed, "doc_id", "left_anti").select(*docs.columns)
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(out.where("doc_id IS NULL"))
-    return out
+    return one_of_each(docs, percent=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,15 +62,16 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_dup", near_dup), ("decontamination", decontamination), ("packing", packing)]
-#: The stages learn, hash and tokenize, which SQL can't express; tests compare run() with a brute-force version.
+#: The stages learn, hash and tokenize, which SQL can't express; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
+            release(spark, since, keep=(f"stage-{name}",))  # the stage's input and what its operator wrote on its way
     return docs
