@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import BLOCK_ROWS, EngineError, Series
+from ..sources.ingest import _following
 
 
 def positioned(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -67,6 +68,6 @@ def differentiate(series: Series, *, negate: bool = False) -> Series:
     """Each value less the next one (``negate``: the other way round), at the first one's slot."""
     if series.dtype == "string":
         raise EngineError("strings can't be differentiated")
-    one = -1 if negate else 1
-    weights = [one, -one] if series.dtype == "int" else [float(one), float(-one)]
-    return collapse(series, "convolve", 2, weights)
+    after = _following(series.df, carry=("value",)).where("next IS NOT NULL")
+    here, there = F.col("value"), F.col("next_value")
+    return series.with_df(after.select("row_idx", (there - here if negate else here - there).alias("value")))

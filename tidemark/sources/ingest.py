@@ -25,20 +25,32 @@ def last_write_wins(df: DataFrame, ts: str, columns: list[str]) -> DataFrame:
     return df.groupBy("row_idx").agg(F.max(row).alias("_row")).select("row_idx", *[F.col(f"_row.`{c}`") for c in columns])
 
 
-def _previous(df: DataFrame, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with prev, the row_idx before (null at the first), and prev_<c> of that row for each column of ``carry``.
+def _beside(df: DataFrame, step: int, chunk: int, carry: tuple[str, ...], name: str) -> DataFrame:
+    """``df`` with ``name``, the row_idx of the row before (step -1) or after (step 1), and ``name``_<c> of that row.
 
-    No task sorts the whole series: rows are windowed in chunks of slots, and a chunk's first row takes the largest slot
-    of the chunks before it, from a table of one row a chunk.
+    No task sorts the whole series: rows are windowed in chunks of slots, and a chunk's outermost row takes the nearest slot
+    of the chunks beside it, from a table of one row a chunk.
     """
-    own_row = F.struct("row_idx", *carry)
+    edge, edge_of = (F.max, F.max_by) if step < 0 else (F.min, F.min_by)
     cut = df.withColumn("_c", F.floor(F.col("row_idx") / chunk).cast("bigint"))
-    ends = cut.groupBy("_c").agg(F.max_by(own_row, "row_idx").alias("_top"))
-    before = Window.orderBy("_c").rowsBetween(-1, -1)
-    ends = ends.select("_c", F.max_by("_top", "_top.row_idx").over(before).alias("_before"))
+    ends = cut.groupBy("_c").agg(edge("row_idx").alias("_e"), *[edge_of(c, "row_idx").alias(f"_e_{c}") for c in carry])
+    order = Window.orderBy("_c")
+    ends = ends.select("_c", *[F.lag(c, -step).over(order).alias(f"_far{c}") for c in ["_e", *(f"_e_{c}" for c in carry)]])
     own = Window.partitionBy("_c").orderBy("row_idx")
-    found = cut.join(ends, "_c").withColumn("_p", F.coalesce(F.lag(own_row).over(own), F.col("_before")))
-    return found.select(*df.columns, F.col("_p.row_idx").alias("prev"), *[F.col(f"_p.{c}").alias(f"prev_{c}") for c in carry])
+    near = F.lag("row_idx", -step).over(own)
+    found = cut.join(ends, "_c").select(*df.columns, near.alias("_near"), *[F.lag(c, -step).over(own).alias(f"_near_{c}") for c in carry], *[f"_far{c}" for c in ["_e", *(f"_e_{c}" for c in carry)]])
+    inside = F.col("_near").isNotNull()
+    return found.select(*df.columns, F.coalesce("_near", "_far_e").alias(name), *[F.when(inside, F.col(f"_near_{c}")).otherwise(F.col(f"_far_e_{c}")).alias(f"{name}_{c}") for c in carry])
+
+
+def _previous(df: DataFrame, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with prev, the row_idx before (null at the first), and prev_<c> of that row for each column of ``carry``."""
+    return _beside(df, -1, chunk, carry, "prev")
+
+
+def _following(df: DataFrame, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with next, the row_idx after (null at the last), and next_<c> of that row for each column of ``carry``."""
+    return _beside(df, 1, chunk, carry, "next")
 
 
 def filled(df: DataFrame, columns: dict[str, str], frequency_s: int, max_null_s: int | None = None, last: int = -1) -> DataFrame:
