@@ -110,7 +110,8 @@ def scan_licenses(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     lines = df.select(col(id_col).alias("doc_id"), F.filter(F.transform(F.split(col(text_col), "\n"), canonical), lambda x: x != "").alias("lines"))
     digests = lines.select("doc_id", F.concat(F.array(F.md5(F.array_join("lines", " "))), F.transform("lines", lambda x: F.md5(x))).alias("digests"))
-    units = digests.select("doc_id", F.posexplode("digests").alias("at", "digest"))
+    # Outer, since a plain explode puts a filter on the array below it, which would work out every form again.
+    units = digests.select("doc_id", F.posexplode_outer("digests").alias("at", "digest"))
     listed = F.broadcast(known_digests(spark, known))
     found = units.join(listed, "digest")
     if extra is not None:

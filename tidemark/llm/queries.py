@@ -3,29 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import ann, chat, classify, decontaminate, licenses, near_dup, packing, sharding, token_files
 
-#: Query name -> module with a function of that name.
-_MODULES = {
-    "op1_rp_forest": "ann",
-    "op2_quality_compression": "classify",
-    "op3_role_repair": "chat",
-    "op4_token_files": "token_files",
-    "op5_benchmark_leaks": "decontaminate",
-    "op6_toxicity_compression": "classify",
-    "op7_binary_packing": "packing",
-    "op8_circulant_minhash": "near_dup",
-    "op9_license_scan": "licenses",
-    "op10_external_shuffle": "sharding",
-}
+_QUERIES = [
+    ann.op1_rp_forest,
+    classify.op2_quality_compression,
+    chat.op3_role_repair,
+    token_files.op4_token_files,
+    decontaminate.op5_benchmark_leaks,
+    classify.op6_toxicity_compression,
+    packing.op7_binary_packing,
+    near_dup.op8_circulant_minhash,
+    licenses.op9_license_scan,
+    sharding.op10_external_shuffle,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
