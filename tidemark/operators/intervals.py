@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ingest import _previous, carried
+from ..sources.scratch import written
 
 WIDTH, LONG = 4096, 4096
 
@@ -52,14 +53,15 @@ def lookup(points: DataFrame, intervals: DataFrame, key: str = "k", width: int =
 def overlay(intervals: DataFrame, width: int = WIDTH, merge: bool = True) -> DataFrame:
     """Disjoint intervals from overlapping ones with ``seq``: the highest seq wins; null values cut holes.
 
-    ``merge``: neighbours that touch and have one value become one.
+    ``merge``: neighbours that touch and have one value become one. The pieces that aren't merged yet are an intermediate
+    table, since merging reads them several times.
     """
     ends = intervals.where("start < end").select(F.col("start").alias("row_idx")).union(intervals.where("start < end").select("end")).distinct()
     parts = _previous(ends).where("prev IS NOT NULL").select(F.col("prev").alias("start"), F.col("row_idx").alias("end"), F.col("prev").alias("value"))
     over = intervals.select("start", "end", F.struct("seq", F.struct("value").alias("v")).alias("value"))
     cover = intersect_join(parts, over, width).select("start", "end", "right_value")
     top = cover.groupBy("start", "end").agg(F.max_by("right_value.v.value", "right_value.seq").alias("value")).where("value IS NOT NULL")
-    return merged(top) if merge else top
+    return merged(written(top, "overlay")) if merge else top
 
 
 def merged(intervals: DataFrame) -> DataFrame:
