@@ -140,9 +140,71 @@ def _runs(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def _pairs(batches, bands: Bands, best: int | None = None):
-    """Candidate pairs of each (key, block): columns key, block, id, sig, label (-1 at first), lead, own, band,
-    keys (null at first). A pair of the later rounds is given in the first band that it shares.
+def _matrix(column) -> np.ndarray:
+    """An Arrow column of ``SKETCH`` bytes a row as a matrix."""
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    if not len(column):
+        return np.empty((0, SKETCH), dtype=np.uint8)
+    wide = str(column.type).startswith("large")
+    first = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[first : first + SKETCH * len(column)].reshape(len(column), SKETCH)
+
+
+def _stars(batches, bands: Bands):
+    """Candidate pairs of each (key, block) at first: columns key, block, id, sig, sorted by the first two.
+
+    Of up to ``ALL_PAIRS`` rows all pairs, else each row with the pivot, the first in one of ``ORDERS`` orders. All buckets
+    of a batch are worked on at once; what a bucket has in further batches meets the pivot that it has so far.
+    """
+    import pyarrow as pa
+
+    held = None  # the last bucket's pivot: key, block, id, sig
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        key, block, ids, sig = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+        run = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, n))
+        goes_on = held is not None and held[0] == key[0] and held[1] == block[0]
+        salt = (key % ORDERS + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rank = mix64(ids.astype(np.uint64) ^ salt)
+        first = np.lexsort((ids, rank, run))[starts]  # of each run its least row
+        ends_here = np.ones(len(starts), dtype=bool)
+        ends_here[-1] = False  # it may go on
+        small = (size <= ALL_PAIRS) & ends_here
+        if goes_on:
+            small[0] = False
+        star = np.flatnonzero(~small[run] & (np.arange(n) != first[run]))
+        left, right = [first[run[star]]], [star]
+        for d in range(1, min(ALL_PAIRS, n)):
+            at = np.flatnonzero((run[d:] == run[:-d]) & small[run[d:]])
+            left.append(np.where(ids[at] < ids[at + d], at, at + d))
+            right.append(np.where(ids[at] < ids[at + d], at + d, at))
+        left, right = np.concatenate(left), np.concatenate(right)
+        a, b = [], []
+        for lo in range(0, len(left), 8192):
+            x, y = left[lo : lo + 8192], right[lo : lo + 8192]
+            near = ((sig[x] == sig[y]).sum(axis=1) >= bands.agree) & (ids[x] != ids[y])
+            a.append(ids[x[near]])
+            b.append(ids[y[near]])
+        if goes_on:  # the rows here meet the pivot of the batches before
+            rows = np.flatnonzero((run == 0) & (ids != held[2]))
+            near = rows[(sig[rows] == held[3]).sum(axis=1) >= bands.agree]
+            a.append(np.full(len(near), held[2]))
+            b.append(ids[near])
+        if not (goes_on and len(starts) == 1):
+            k = int(first[-1])
+            held = (key[-1], block[-1], int(ids[k]), sig[k].copy())
+        if sum(map(len, a)):
+            yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _crossings(batches, bands: Bands, best: int | None = None):
+    """Candidate pairs between the components of each (key, block): columns key, block, id, sig, label, lead, own, band, keys.
+    A pair is given in the first band that it shares.
 
     best: each row outside the main component gives its most similar ones only.
     """
@@ -153,27 +215,17 @@ def _pairs(batches, bands: Bands, best: int | None = None):
         if run.num_rows < 2:
             continue
         ids, labels = run.column("id").to_numpy(), run.column("label").to_numpy()
-        at_first = labels[0] < 0
-        sig = np.frombuffer(b"".join(run.column("sig").to_pylist()), dtype=np.uint8).reshape(len(ids), SKETCH)
-        if at_first:
-            salt = np.uint64((run.column("key")[0].as_py() % ORDERS + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            order = np.argsort(mix64(ids.astype(np.uint64) ^ salt), kind="stable")
-            leads = range(len(ids)) if len(ids) <= ALL_PAIRS else order[:1]
-        else:
-            keys = run.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), bands.count)
-            lead, own = run.column("lead").to_numpy(zero_copy_only=False), run.column("own").to_numpy(zero_copy_only=False)
-            leads = np.flatnonzero(lead)
-        for i in leads:
-            agree = (sig == sig[i]).sum(axis=1)
-            near = agree >= bands.agree
-            if at_first:
-                near &= ids > ids[i] if len(ids) <= ALL_PAIRS else ids != ids[i]
-            else:  # two outside the main component meet in every block; the one where the smaller id is at home counts
-                near &= (labels != labels[i]) & (~lead | np.where(ids[i] < ids, own[i], False))
-            found = np.flatnonzero(near)
-            if not at_first:
-                found = found[(keys[found] == keys[i]).argmax(axis=1) == run.column("band")[0].as_py()]  # later bands give it too
-                found = found[np.argsort(-agree[found], kind="stable")[:best]]
+        sig = _matrix(run.column("sig"))
+        keys = run.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), bands.count)
+        lead, own = run.column("lead").to_numpy(zero_copy_only=False), run.column("own").to_numpy(zero_copy_only=False)
+        band = run.column("band")[0].as_py()
+        for i in np.flatnonzero(lead):
+            # Two outside the main component meet in every block; the one where the smaller id is at home counts.
+            may = np.flatnonzero((labels != labels[i]) & (~lead | np.where(ids[i] < ids, own[i], False)))
+            agree = (sig[may] == sig[i]).sum(axis=1)
+            found, agree = may[agree >= bands.agree], agree[agree >= bands.agree]
+            here = (keys[found] == keys[i]).argmax(axis=1) == band  # later bands give it too
+            found = found[here][np.argsort(-agree[here], kind="stable")[:best]]
             a_out.append(np.full(len(found), ids[i]))
             b_out.append(ids[found])
         if sum(map(len, a_out)) > 20_000:
@@ -236,15 +288,14 @@ def _grouped(docs: DataFrame, bands: Bands, same_ids: bool) -> DataFrame:
     texts = written(texts, "texts")
     met = written(met.join(texts.select("node", "sig", "keys"), "node"), "bucket-signatures")
 
-    def paired(rows: DataFrame, name: str, best: int | None = None) -> DataFrame:
-        dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", F.col("node").alias("id"), "sig", "label", "lead", "own", "band", "keys")
-        return written(dealt.mapInArrow(lambda batches: _pairs(batches, bands, best), "a long, b long").distinct(), name)
+    def paired(rows: DataFrame, make, name: str) -> DataFrame:
+        dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block")
+        return written(dealt.mapInArrow(make, "a long, b long").distinct(), name)
 
     # A bucket's own blocks: those of another band bring other members together.
     block = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("count") / BLOCK)).cast("int")
-    none = F.lit(None).cast("array<long>")
-    stars = met.select("key", block.alias("block"), "node", "sig", F.lit(-1).cast("long").alias("label"), F.lit(False).alias("lead"), F.lit(True).alias("own"), "band", none.alias("keys"))
-    links = _links(paired(stars, "stars"), texts, bands.percent)
+    stars = met.select("key", block.alias("block"), F.col("node").alias("id"), "sig")
+    links = _links(paired(stars, lambda b: _stars(b, bands), "stars"), texts, bands.percent)
     if same_ids and repeated.where("least <> most").limit(1).count():
         number = classes.select("digest", "node")
         several = worded.join(repeated.where("least <> most"), "id").where("digest <> least").select("digest", "least").distinct()
@@ -257,7 +308,8 @@ def _grouped(docs: DataFrame, bands: Bands, same_ids: bool) -> DataFrame:
         rest = labelled.join(open_, "key").withColumn("home", block).withColumn("lead", F.col("label") != F.col("main"))
         blocks = F.ceil(F.col("count") / BLOCK).cast("int")
         rest = rest.select("key", "band", "node", "sig", "keys", "label", "lead", "home", F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))).alias("block"))
-        more = paired(rest.withColumn("own", F.col("home") == F.col("block")), "crossings", best)
+        rest = rest.select("key", "block", F.col("node").alias("id"), "sig", "label", "lead", (F.col("home") == F.col("block")).alias("own"), "band", "keys")
+        more = paired(rest, lambda b, best=best: _crossings(b, bands, best), "crossings")
         if not more.limit(1).count():
             break
         new = _links(more, texts, bands.percent)
