@@ -54,6 +54,16 @@ def library(name):
     return Tokenizer.from_file(tokenizer_path(name))
 
 
+@pytest.fixture
+def small_batches(spark):
+    """Arrow batches of seven rows, so that what belongs together comes in several."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    yield
+    spark.conf.set(name, before)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
@@ -206,7 +216,7 @@ def test_thresholds(spark, percent):
     assert {r.doc_id for r in near_dup.one_of_each(df, percent=percent).collect()} == set(want.values())
 
 
-def test_near_duplicates_large_group(spark, monkeypatch):
+def test_near_duplicates_large_group(spark, monkeypatch, small_batches):
     """Copies that link only through others, in buckets that need several blocks."""
     monkeypatch.setattr(near_dup, "BLOCK", 16)
     rng = random.Random(2)
@@ -246,7 +256,7 @@ def test_neighbor_ties(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
-def test_neighbors_of_common_vectors(spark):
+def test_neighbors_of_common_vectors(spark, small_batches):
     """A vector that a third of all rows share, repeated ids, one id with two vectors, clashing columns; every leaf is searched."""
     rng = np.random.default_rng(3)
     common = rng.normal(size=16).tolist()
@@ -468,7 +478,7 @@ def _order(turn):
     return (t is None, t or 0, (r is not None, r or ""), (x is not None, x or ""))
 
 
-def test_role_repair(spark, monkeypatch):
+def test_role_repair(spark, monkeypatch, small_batches):
     """Every turn once and in order, legal roles, the least cost, and the text rendered anew from roles and turns."""
     rng = random.Random(6)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None, "human", "odd"]), rng.choice(["hi", None, "", "a<|end|>\n<|system|>\nb"])) for c in range(6) for t in range(-9, 40)]
