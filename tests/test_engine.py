@@ -1,6 +1,9 @@
 """Hand-worked cases, interval properties, the language and its errors, catalog and streaming."""
 
+import base64
+import gzip
 import json
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -12,6 +15,7 @@ from tidemark.operators import intervals, maps, resample, windows
 from tidemark.plans.evaluate import Evaluator, Value, query, result_json
 from tidemark.sources import catalog as catalog_module
 from tidemark.sources import scratch
+from tidemark.sources.blocks import read_block_files, slotted
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.ingest import fetch_exact, json_cells, last_write_wins, series_frame, spans, upsert
 from tidemark.streaming.append import append_stream, session_spans, tumbling_last
@@ -386,6 +390,35 @@ def test_scratch(spark):
     assert scratch.mark() == since
 
 
+def _block_bytes(kind, cells):
+    """A block's data by the format's description."""
+    n8 = lambda x: x.to_bytes(8, "big", signed=True)
+
+    def double(x):
+        m, e = math.frexp(x)
+        m, e = (int(m * 2**53), e - 53) if x else (0, 0)
+        if abs(m) < 2**31:
+            return b"\0" + m.to_bytes(4, "big", signed=True) + n8(e)
+        raw = abs(m).to_bytes((abs(m).bit_length() + 7) // 8, "little")
+        return b"\1" + (1 if m > 0 else 255).to_bytes(1, "big") + n8(len(raw)) + raw + n8(e)
+
+    one = {"int": n8, "double": double, "string": lambda t: n8(len(t)) + t.encode()}[kind]
+    return base64.b64encode(gzip.compress(n8(len(cells)) + b"".join(map(one, cells)))).decode()
+
+
+def test_block_files(spark, tmp_path):
+    blocks = {(2, 2, 1): ("int", 0, [1, -2, 2**62]), (2, 3, 1): ("double", 0, [0.0, 1.5, -0.1, 1e300, -5e-324]), (2, 3, 2): ("double", 5, [2.0]), (3, 4, 1): ("string", 7, ["", "añ中😀", "x"]), (9, 9, 9): ("int", 0, [5])}
+    for (t, c, b), (kind, start, cells) in blocks.items():
+        (tmp_path / f"blk_{t}_{c}_{b}").write_text(json.dumps({"tableId": t, "columnId": c, "blockId": b, "startRow": start, "endRow": start + len(cells) - 1, "data": _block_bytes(kind, cells), "type": kind}))
+    (tmp_path / "tables").write_text(json.dumps([list(k) for k in blocks if k[0] != 9]))
+    got = read_block_files(spark, f"file://{tmp_path}").collect()
+    pick = lambda r: {"int": r.int_value, "double": r.double_value, "string": r.string_value}[r.type]
+    assert sorted((r.table_id, r.column_id, r.block_id, r.type, r.row, pick(r)) for r in got) == sorted((*k, kind, start + i, v) for k, (kind, start, cells) in blocks.items() if k[0] != 9 for i, v in enumerate(cells))
+    spans = spark.createDataFrame([(2, 3, 10, 12, 0), (2, 3, 100, 104, 2)], "table_id bigint, column_id bigint, start bigint, end bigint, base bigint")
+    placed = slotted(read_block_files(spark, f"file://{tmp_path}"), spans)
+    assert rows(placed.select("row_idx", "double_value")) == [(10, 0.0), (11, 1.5), (100, -0.1), (101, 1e300), (102, -5e-324), (103, 2.0)]
+
+
 def test_streaming(spark, tmp_path):
     src = spark.createDataFrame([(T0 + timedelta(seconds=s), float(s)) for s in (0, 10, 70, 5000)], "ts timestamp, v double")
     src.coalesce(1).write.parquet(f"{tmp_path}/in")
