@@ -379,9 +379,10 @@ def lang_window_sum(spark, sf):
     return _rounded(query("windowSum I5 (#Click:v)", _catalog(spark, sf)))
 
 
-@_query(_window_sql("round(product(value) @, 4)", 3))
+@_query(_window_sql("round(product(value) @, 6)", 2, _series_sql("click", "view")))
 def lang_window_product(spark, sf):
-    return query("windowProduct I3 (#Click:v)", _catalog(spark, sf)).df.withColumn("value", F.round("value", 4))
+    """Of two rows: their product has four decimals, so that rounding can't differ."""
+    return _rounded(query("windowProduct I2 (#View:v)", _catalog(spark, sf)))
 
 
 @_query(f"WITH {CLICK} SELECT row_idx, value FROM (SELECT row_idx, round(0.75 * value - 0.5 * lead(value, 1) OVER (ORDER BY row_idx), 6) AS value FROM click) WHERE value IS NOT NULL")
