@@ -272,7 +272,8 @@ def _grouped(docs: DataFrame, bands: Bands, same_ids: bool) -> DataFrame:
     worded = known.where("n > 0 AND id IS NOT NULL")
     classes = worded.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("first"), F.any_value("keys").alias("keys"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    repeated = written(worded.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("digest").alias("least"), F.max("digest").alias("most")).where("rows > 1"), "repeated")
+    of = F.xxhash64("digest")
+    repeated = written(worded.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min(of).alias("least"), F.max(of).alias("most")).where("rows > 1"), "repeated")
 
     members = classes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = members.groupBy("key").count().where("count > 1")
@@ -298,7 +299,8 @@ def _grouped(docs: DataFrame, bands: Bands, same_ids: bool) -> DataFrame:
     links = _links(paired(stars, lambda b: _stars(b, bands), "stars"), texts, bands.percent)
     if same_ids and repeated.where("least <> most").limit(1).count():
         number = classes.select("digest", "node")
-        several = worded.join(repeated.where("least <> most"), "id").where("digest <> least").select("digest", "least").distinct()
+        own = worded.select("id", "digest").join(repeated.where("least <> most").select("id"), "id", "left_semi").distinct()
+        several = own.join(own.groupBy("id").agg(F.min("digest").alias("least")), "id").where("digest <> least").select("digest", "least").distinct()
         links = links.union(written(several.join(number.withColumnsRenamed({"node": "b"}), "digest").join(number.select(F.col("digest").alias("least"), F.col("node").alias("a")), "least").select("a", "b"), "same-ids"))
     labels = components(links)
     for best in (NEAREST, None):  # in buckets that still hold several components: the likeliest pairs first, then all
