@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, chat, classify, compression, decontaminate, licenses, near_dup, packing, sharding, token_files
@@ -145,6 +146,30 @@ def test_sharding(spark, awkward, docs):
     assert sharding.external_shuffle(docs.limit(0), 24).count() == 0
 
 
+def test_sharding_shuffles_texts_once(spark, docs, monkeypatch):
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def kept(self, path, *args, **more):
+        if "shards" in path:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return parquet(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # these tables are small enough to be broadcast by Spark's own choice
+    try:
+        got = sharding.external_shuffle(docs, 24, bucket_bytes=50000)
+        assert got.count() == docs.count()
+    finally:
+        spark.conf.set(name, before)
+    (plan,) = plans
+    assert "SortMergeJoin" not in plan
+    joined = plan[plan.index("BroadcastHashJoin") :]
+    texts = joined[: joined.index("BroadcastExchange")]
+    assert texts.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in texts
+
+
 def test_sharding_of_repeated_rows(spark):
     """Rows that are equal throughout, more than a bucket's share, come back whole and are spread over buckets."""
     rows = [(5, "same text " * 20, k % 2) for k in range(3000)] + [(i, f"text {i}", 0) for i in range(300)] + [(None, None, 1)] * 3

@@ -66,7 +66,8 @@ def external_shuffle(df: DataFrame, num_shards: int, *, id_col: str = "doc_id",
     grouped = scattered.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("record")), F.lit(seed)).alias("records"))
     small, longer = rows // num_shards, rows % num_shards  # the first `longer` shards have one row more
     edge = longer * (small + 1)
-    placed = grouped.join(starts, "bucket").select("first", F.posexplode("records").alias("at", "record"))
+    # One row a bucket, broadcast: left to its estimates, Spark may shuffle the arrays a second time for this join.
+    placed = grouped.join(F.broadcast(starts), "bucket").select("first", F.posexplode("records").alias("at", "record"))
     placed = placed.select((F.col("first") + F.col("at")).alias("g"), "record.v")
     placed = placed.withColumn("shard", F.when(F.col("g") < edge, F.floor(F.col("g") / (small + 1))).otherwise(longer + F.floor((F.col("g") - edge) / max(small, 1))).cast("int"))
     placed = placed.select("v.*", (F.col("g") - F.col("shard") * small - F.least(F.col("shard"), F.lit(longer))).alias("slot"), "shard")
