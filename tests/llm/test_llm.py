@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import ann, chat, classify, compression, decontaminate, licenses, near_dup, packing, sharding, token_files
 from tidemark.llm.queries import oracle_sql, queries
-from tidemark.llm.tokens import encoder, tokenizer_path
+from tidemark.llm.tokens import Encoder, encoder, tokenizer_path
 
 LONG = " ".join(f"word{i % 977}" for i in range(20000))
 BASE = " ".join(f"alpha{i}" for i in range(60))
@@ -85,6 +85,16 @@ def test_encoder_on_any_text(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder(tokenizer_path(name)).encode(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_of_marks_after_units_seen_before(name):
+    cores = ["x", "7", "é", "ß", "İ", "ñ1", "\u0301", "e\u0301", "ʼ", "中", "..", "...", "!", ")", "a)", "don'", "it's", "x\t", "²", "Ⅷ", "“", "\x1c"]
+    own = Encoder(tokenizer_path(name))
+    for tail in ("", ".", "!", "?!", " a", ". a", "\n", ",\n"):
+        texts = [lead + c + tail for c in cores for lead in ("", "b ", "b\n")]
+        want = [library(name).encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+
+
 def test_token_files(spark, awkward):
     manifest = token_files.write_token_files(awkward, tokenizer=tokenizer_path("byte_bpe_50k.json"), end_id=0)
     got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)

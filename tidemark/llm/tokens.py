@@ -22,6 +22,7 @@ _SLOTS = 1 << 21
 _WINDOW = 1 << 17  # bytes looked at at once; a longer unit has a window of its own
 _ENCODERS: dict = {}
 _MARKS = ".,;:!?"
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _RNG = np.random.default_rng(1861)
 #: For each of two hashes: a random word for each byte, an odd base and its inverse.
 _VALUES = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64)
@@ -170,10 +171,15 @@ class Encoder:
         return np.diff(edges), ids
 
     def _learn(self, data: bytes, raw: np.ndarray, hashes: _Hashes, starts, ends, kinds, k1, k2) -> None:
-        """Makes entries of units that have none. A mark after plain letters is a unit of its own to the library, so
-        "word," and "word." share the work for "word"."""
+        """Makes entries of units that have none. A mark after a letter or digit is a unit of its own to the library, so
+        "word," and "word." share the work for "word"; after any other character ("...", "?!", ").") it is not."""
         last = raw[ends - 1]
         mark = (ends - starts > 1) & self.marks[last]
+        before = raw[ends - 2]
+        for i in np.flatnonzero(mark & (before >= 0x80)).tolist():
+            c = data[ends[i] - 3 : ends[i] - 1].decode(errors="ignore")
+            mark[i] = c.isalpha() and c < "ɐ" and c != "İ"
+        mark &= (before >= 0x80) | _ALNUM[before]
         cores = ends - mark
         c1, c2 = hashes.keys(starts, cores, kinds)
         core = self.table.find(c1, c2)
